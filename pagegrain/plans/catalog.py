@@ -2,6 +2,8 @@
 
 from pagegrain.plans import (  # noqa: F401
     q_boxes,
+    q_jobs,
     q_quality,
+    q_review,
 )
 from pagegrain.plans.registry import all_oracles, all_queries  # noqa: F401
