@@ -5,5 +5,6 @@ from pagegrain.plans import (  # noqa: F401
     q_jobs,
     q_quality,
     q_review,
+    q_units,
 )
 from pagegrain.plans.registry import all_oracles, all_queries  # noqa: F401
