@@ -77,13 +77,13 @@ def parse_review_json(df: DataFrame, answer: str) -> DataFrame:
         T.strip(F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1)),
         F.regexp_extract(t, r"(\{[\s\S]*\})", 1),
     ]
-    d = df.withColumns({f"_v{i}": _answer(x) for i, x in enumerate(tries)})
 
-    def found(i: int) -> Column:
-        return F.try_variant_get(F.col(f"_v{i}"), "$.corrected_text", "string").isNotNull()
+    def usable(raw: Column) -> Column:
+        has_text = lambda v: F.try_variant_get(v, "$.corrected_text", "string").isNotNull()
+        return F.get(F.filter(F.array(F.try_parse_json(raw)), has_text), F.lit(0))
 
-    v = F.coalesce(*[F.when(found(i), F.col(f"_v{i}")) for i in range(len(tries))])
-    d = d.withColumn("_v", v)
+    # coalesce stops at the first usable try, so the later ones are rarely parsed
+    d = df.withColumn("_v", F.coalesce(*[usable(x) for x in tries]))
     ok = F.col("_v").isNotNull()
     flag = F.try_variant_get("_v", "$.auto_confirm", "variant")
     return d.withColumns(
@@ -93,7 +93,7 @@ def parse_review_json(df: DataFrame, answer: str) -> DataFrame:
             "auto_confirm": F.when(ok, _truth(flag)),
             "reason": F.when(ok, F.coalesce(T.strip(F.try_variant_get("_v", "$.reason", "string")), F.lit(""))),
         }
-    ).drop("_v", *[f"_v{i}" for i in range(len(tries))])
+    ).drop("_v")
 
 
 def first_object(c: Column) -> Column:

@@ -6,7 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace set of the archive's text rules (Unicode
-# whitespace, including the ASCII separators 1C-1F).
+# whitespace, including the ASCII separators 1C-1F), as characters and as the
+# inside of a regular expression class.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACES = (
     r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
@@ -52,12 +58,12 @@ def _c(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace."""
-    return F.regexp_replace(_c(c), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(_c(c), F.lit(SPACE_CHARS))
 
 
 def strip_whitespace(c: Column | str) -> Column:
     """remove every whitespace character."""
-    return F.regexp_replace(_c(c), f"[{SPACES}]+", "")
+    return F.translate(_c(c), SPACE_CHARS, "")
 
 
 def effective_text(text: Column | str, reviewed: Column | str | None = None) -> Column:
@@ -149,7 +155,8 @@ def confusion_score(c: Column | str) -> Column:
 
 def characters(c: Column | str) -> Column:
     """The characters of a text as an array, in one linear pass."""
-    return F.regexp_extract_all(_c(c), F.lit("(?s)(.)"), F.lit(1))
+    # an empty text splits into one empty string, which is no character
+    return F.array_remove(F.split(_c(c), ""), "")
 
 
 def similarity(a: Column, b: Column) -> Column:

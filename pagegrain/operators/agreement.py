@@ -39,9 +39,12 @@ def compare_texts(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def _around(chars: Column, pos: Column, before: int, upto: int) -> Column:
-    """Characters pos-before .. pos+upto-1 (0-based) of a character array, joined."""
-    start = F.greatest(F.lit(0), pos - before)
-    return F.array_join(F.slice(chars, start + 1, pos + upto - start), "")
+    """Characters pos-before .. pos+upto-1 (0-based) of a character array, joined.
+
+    Single gets, because ``slice`` would copy the whole array for every position;
+    places outside the text are null and fall away.
+    """
+    return F.concat_ws("", *[F.get(chars, pos + k) for k in range(-before, upto)])
 
 
 def text_differences(df: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
@@ -54,22 +57,14 @@ def text_differences(df: DataFrame, keys: Sequence[str], first: str, second: str
     positions = F.when(longer > 0, F.sequence(F.lit(0), longer - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    differing = F.filter(
-        F.transform(
-            positions,
-            lambda i: F.struct(i.alias("position"), F.get(a, i).alias("c1"), F.get(b, i).alias("c2")),
-        ),
-        lambda s: ~s["c1"].eqNullSafe(s["c2"]),
-    )
+    differing = F.filter(positions, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
     described = F.transform(
         differing,
-        lambda s: F.struct(
-            s["position"].alias("position"),
-            F.coalesce(s["c1"], F.lit("")).alias("char1"),
-            F.coalesce(s["c2"], F.lit("")).alias("char2"),
-            F.when(s["c1"].isNull(), _around(b, s["position"], 10, 10))
-            .otherwise(_around(a, s["position"], 10, 10))
-            .alias("context"),
+        lambda i: F.struct(
+            i.alias("position"),
+            F.coalesce(F.get(a, i), F.lit("")).alias("char1"),
+            F.coalesce(F.get(b, i), F.lit("")).alias("char2"),
+            F.when(i >= F.size(a), _around(b, i, 10, 10)).otherwise(_around(a, i, 10, 10)).alias("context"),
         ),
     )
     return (
@@ -81,28 +76,29 @@ def text_differences(df: DataFrame, keys: Sequence[str], first: str, second: str
 
 def confusion_hits(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """one row per suspect letter: position, letter, its readings, the text around it."""
-    readings = F.create_map(*[F.lit(v) for kv in T.confusion_table().items() for v in kv])
+    table = T.confusion_table()
+    readings = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
     chars = F.col("_a")
-    hits = F.filter(
-        F.transform(
-            chars,
-            lambda c, i: F.struct(i.alias("position"), c.alias("char"), F.element_at(readings, c).alias("alternatives")),
-        ),
-        lambda s: s["alternatives"].isNotNull(),
+    positions = F.when(F.size(chars) > 0, F.sequence(F.lit(0), F.size(chars) - 1)).otherwise(
+        F.array().cast("array<int>")
     )
+    hits = F.filter(positions, lambda i: F.get(chars, i).isin(*table))
     described = F.transform(
         hits,
-        lambda s: F.struct(
-            s["position"].alias("position"),
-            s["char"].alias("char"),
-            s["alternatives"].alias("alternatives"),
-            _around(chars, s["position"], 10, 11).alias("context"),
+        lambda i: F.struct(
+            i.alias("position"), F.get(chars, i).alias("char"), _around(chars, i, 10, 11).alias("context")
         ),
     )
     return (
         df.withColumn("_a", T.characters(F.coalesce(F.col(text), F.lit(""))))
         .select(*keys, F.explode(described).alias("_d"))
-        .select(*keys, "_d.*")
+        .select(
+            *keys,
+            "_d.position",
+            "_d.char",
+            F.element_at(readings, F.col("_d.char")).alias("alternatives"),
+            "_d.context",
+        )
     )
 
 
