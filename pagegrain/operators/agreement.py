@@ -38,13 +38,49 @@ def compare_texts(df: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
-def _around(chars: Column, pos: Column, before: int, upto: int) -> Column:
-    """Characters pos-before .. pos+upto-1 (0-based) of a character array, joined.
+CONTEXT = 10
 
-    Single gets, because ``slice`` would copy the whole array for every position;
-    places outside the text are null and fall away.
+
+def _blocks(df: DataFrame, keys: Sequence[str], texts: Sequence[str], size: int) -> DataFrame:
+    """Cut texts into pieces of ``size`` positions with ``CONTEXT`` characters around them.
+
+    Adds ``base`` (position of the piece), ``lead`` (characters before it) and
+    ``count`` (positions in it); pieces can be cut again.  Long texts become
+    many small rows, so the work per position does not grow with the text.
     """
-    return F.concat_ws("", *[F.get(chars, pos + k) for k in range(-before, upto)])
+    fresh = "base" not in df.columns
+    if fresh:
+        lengths = [F.length(t) for t in texts]
+        longest = F.greatest(*lengths) if len(lengths) > 1 else lengths[0]
+        df = df.withColumns({"base": F.lit(0), "lead": F.lit(0), "count": longest})
+    last = F.floor((F.col("count") - 1) / size).cast("int")
+    numbers = F.when(F.col("count") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def piece(k: Column) -> Column:
+        first = F.col("lead") + k * size
+        start = F.greatest(F.lit(0), first - CONTEXT)
+        return F.struct(
+            (F.col("base") + k * size).alias("base"),
+            (first - start).alias("lead"),
+            F.least(F.lit(size), F.col("count") - k * size).alias("count"),
+            *[F.substr(F.col(t), start + 1, first - start + size + CONTEXT).alias(t) for t in texts],
+        )
+
+    return df.select(*keys, F.explode(F.transform(numbers, piece)).alias("_p")).select(*keys, "_p.*")
+
+
+def _pieces(df: DataFrame, keys: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    cut = _blocks(_blocks(df, keys, texts, 1 << 15), keys, texts, 128)
+    return cut.withColumns(
+        {f"{t}_c": F.split(F.substr(F.col(t), F.col("lead") + 1, F.col("count")), "") for t in texts}
+    )
+
+
+def _around(text: str, after: int) -> Column:
+    """The piece from CONTEXT characters before position ``at`` up to ``after`` behind it."""
+    first = F.col("lead") + F.col("at")
+    start = F.greatest(F.lit(0), first - CONTEXT)
+    return F.substr(F.col(text), start + 1, first + after - start)
 
 
 def text_differences(df: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
@@ -52,25 +88,21 @@ def text_differences(df: DataFrame, keys: Sequence[str], first: str, second: str
 
     The context comes from the first text, or from the second beyond its end.
     """
-    a, b = F.col("_a"), F.col("_b")
-    longer = F.greatest(F.size(a), F.size(b))
-    positions = F.when(longer > 0, F.sequence(F.lit(0), longer - 1)).otherwise(
-        F.array().cast("array<int>")
+    solid = df.select(
+        *keys,
+        *[T.strip_whitespace(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in ((first, "_a"), (second, "_b"))],
     )
-    differing = F.filter(positions, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
-    described = F.transform(
-        differing,
-        lambda i: F.struct(
-            i.alias("position"),
-            F.coalesce(F.get(a, i), F.lit("")).alias("char1"),
-            F.coalesce(F.get(b, i), F.lit("")).alias("char2"),
-            F.when(i >= F.size(a), _around(b, i, 10, 10)).otherwise(_around(a, i, 10, 10)).alias("context"),
-        ),
+    cut = _pieces(solid, keys, ["_a", "_b"])
+    rows = cut.select(
+        *keys, "base", "lead", "_a", "_b", F.posexplode(F.arrays_zip("_a_c", "_b_c")).alias("at", "_z")
     )
-    return (
-        _with_chars(df, first, second)
-        .select(*keys, F.explode(described).alias("_d"))
-        .select(*keys, "_d.*")
+    one, two = (F.coalesce(F.col(f"_z.{c}"), F.lit("")) for c in ("_a_c", "_b_c"))
+    return rows.where(one != two).select(
+        *keys,
+        (F.col("base") + F.col("at")).alias("position"),
+        one.alias("char1"),
+        two.alias("char2"),
+        F.when(one == "", _around("_b", CONTEXT)).otherwise(_around("_a", CONTEXT)).alias("context"),
     )
 
 
@@ -78,27 +110,14 @@ def confusion_hits(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """one row per suspect letter: position, letter, its readings, the text around it."""
     table = T.confusion_table()
     readings = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
-    chars = F.col("_a")
-    positions = F.when(F.size(chars) > 0, F.sequence(F.lit(0), F.size(chars) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    hits = F.filter(positions, lambda i: F.get(chars, i).isin(*table))
-    described = F.transform(
-        hits,
-        lambda i: F.struct(
-            i.alias("position"), F.get(chars, i).alias("char"), _around(chars, i, 10, 11).alias("context")
-        ),
-    )
-    return (
-        df.withColumn("_a", T.characters(F.coalesce(F.col(text), F.lit(""))))
-        .select(*keys, F.explode(described).alias("_d"))
-        .select(
-            *keys,
-            "_d.position",
-            "_d.char",
-            F.element_at(readings, F.col("_d.char")).alias("alternatives"),
-            "_d.context",
-        )
+    cut = _pieces(df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_a")), keys, ["_a"])
+    rows = cut.select(*keys, "base", "lead", "_a", F.posexplode("_a_c").alias("at", "char"))
+    return rows.where(F.col("char").isin(*table)).select(
+        *keys,
+        (F.col("base") + F.col("at")).alias("position"),
+        "char",
+        F.element_at(readings, F.col("char")).alias("alternatives"),
+        _around("_a", CONTEXT + 1).alias("context"),
     )
 
 
