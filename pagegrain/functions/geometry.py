@@ -73,4 +73,4 @@ def clip_box(width: Column | int, height: Column | int) -> dict[str, Column]:
         first = F.greatest(F.lit(0), F.least(F.col(low), side - 1))
         out[low] = first
         out[high] = F.greatest(first + 1, F.least(F.greatest(F.col(low) + 1, F.col(high)), side))
-    return out
+    return {c: out[c] for c in CORNERS}

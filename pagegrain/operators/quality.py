@@ -14,29 +14,55 @@ from pagegrain.operators import ink, spread
 REVIEWED = ("confirmed", "rejected", "auto_confirmed")
 
 
+def _with_density(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumn("_d", F.when(G.has_corners(), B.density_per_1k_px(boxes)))
+
+
+def _density_sums() -> list[Column]:
+    zero = F.lit(0.0)
+    return [
+        F.coalesce(F.min("_d"), zero).alias("min_density"),
+        F.coalesce(F.max("_d"), zero).alias("max_density"),
+        F.count("_d").alias("box_count"),
+    ]
+
+
+def _review_sums() -> list[Column]:
+    counts = F.coalesce(F.col("box_type"), F.lit("ocr")) != "note"
+    done = F.coalesce(counts & F.col("review_status").isin(*REVIEWED), F.lit(False))
+    total = F.count_if(counts)
+    share = round_even(F.lit(100.0) * F.count_if(done) / total, 1)
+    return [
+        total.alias("countable_boxes"),
+        F.when(total > 0, share).otherwise(F.lit(0.0)).alias("reviewed_pct"),
+    ]
+
+
+def _with_median(per_page: DataFrame, rows: DataFrame) -> DataFrame:
+    middle = spread.exact_median(rows, ["page_id"], "_d", "_median")
+    return per_page.join(middle, "page_id", "left").withColumn(
+        "median_density", F.coalesce(F.col("_median"), F.lit(0.0))
+    ).drop("_median")
+
+
 def page_density(boxes: DataFrame) -> DataFrame:
     """A1: exact median, min and max of characters per 1000 px and the number of valid boxes."""
-    rows = boxes.withColumn("_d", F.when(G.has_corners(), B.density_per_1k_px(boxes)))
-    plain = rows.groupBy("page_id").agg(
-        F.min("_d").alias("_min"), F.max("_d").alias("_max"), F.count("_d").alias("box_count")
-    )
-    middle = spread.exact_median(rows, ["page_id"], "_d", "_median")
-    return plain.join(middle, "page_id", "left").select(
-        "page_id",
-        *[F.coalesce(F.col(f"_{c}"), F.lit(0.0)).alias(f"{c}_density") for c in ("median", "min", "max")],
-        "box_count",
+    rows = _with_density(boxes)
+    per_page = rows.groupBy("page_id").agg(*_density_sums())
+    return _with_median(per_page, rows).select(
+        "page_id", "median_density", "min_density", "max_density", "box_count"
     )
 
 
 def reviewed_pct(boxes: DataFrame) -> DataFrame:
     """A3: share of reviewed boxes among those that are not notes, in percent."""
-    counts = F.coalesce(F.col("box_type"), F.lit("ocr")) != "note"
-    done = counts & F.col("review_status").isin(*REVIEWED)
-    total, ok = F.count_if(counts), F.count_if(F.coalesce(done, F.lit(False)))
-    return boxes.groupBy("page_id").agg(
-        total.alias("countable_boxes"),
-        F.when(total > 0, round_even(F.lit(100.0) * ok / total, 1)).otherwise(F.lit(0.0)).alias("reviewed_pct"),
-    )
+    return boxes.groupBy("page_id").agg(*_review_sums())
+
+
+def density_and_review(boxes: DataFrame) -> DataFrame:
+    """A1 and A3 of each page from one pass over the boxes (and one for the median)."""
+    rows = _with_density(boxes)
+    return _with_median(rows.groupBy("page_id").agg(*_density_sums(), *_review_sums()), rows)
 
 
 def confirmed_pages(boxes: DataFrame, ratio: float = 1.0) -> DataFrame:
@@ -112,8 +138,7 @@ def page_quality(
     rows = (
         pages.select(F.col("id").alias("page_id"), "document_id", "page_number")
         .join(measured, "page_id")
-        .join(page_density(boxes), "page_id", "left")
-        .join(reviewed_pct(boxes), "page_id", "left")
+        .join(density_and_review(boxes), "page_id", "left")
         .join(ink.page_black_px(box_ink), "page_id", "left")
         .join(ink.page_coverage(dark, boxes, width, height), "page_id", "left")
     )

@@ -112,18 +112,16 @@ def person_detail(
     head = hits.agg(
         F.min_by(F.struct("name", "role", epoch(F.col("year")).alias("epoch")), F.struct("unit_id", "pos")).alias("h")
     )
-    name = head.select("h.name").scalar()
+    first = head.scalar()
     texts = unit_text(unit_pages.join(hits.select("unit_id"), "unit_id", "left_semi"), page_texts)
     dated = F.col("year").isNotNull() | (F.coalesce("summary", F.lit("")) != "")
     return hits.where(dated).join(texts, "unit_id", "left").select(
         F.lit(slug).alias("slug"),
-        name.alias("display_name"),
-        head.select("h.role").scalar().alias("role"),
-        head.select("h.epoch").scalar().alias("epoch"),
+        *[first.getField(c).alias("display_name" if c == "name" else c) for c in ("name", "role", "epoch")],
         "unit_id",
         "pos",
         "year",
-        T.snippet("text", name, "summary", 120).alias("snippet"),
+        T.snippet("text", first.getField("name"), "summary", 120).alias("snippet"),
     )
 
 

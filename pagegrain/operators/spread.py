@@ -119,14 +119,16 @@ def exact_median(
     finds the bucket of the middle ranks, and only that bucket is sorted.
     """
     keys = list(keys)
+    v = F.col(value)
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            _B,
-            (F.signum("_v") * F.floor(F.log2(F.abs("_v") + 1) * 64)).cast("long"),
+        df.select(
+            *keys,
+            v.alias("_v"),
+            (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 64)).cast("long").alias(_B),
         )
+        .dropna()
+        .groupBy(*keys, _B, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     group = Window.partitionBy(*keys)
     upto = group.orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)

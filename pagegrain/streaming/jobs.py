@@ -34,7 +34,7 @@ def page_metrics(boxes: DataFrame, image_width: int) -> DataFrame:
     """Density and review progress per page of recomputed boxes."""
     fresh = B.with_box_metrics(boxes, image_width)
     totals = fresh.groupBy("page_id").agg(F.sum("char_count").alias("char_count"))
-    return Q.page_density(fresh).join(Q.reviewed_pct(fresh), "page_id").join(totals, "page_id")
+    return Q.density_and_review(fresh).join(totals, "page_id")
 
 
 def metric_refresh(
