@@ -14,6 +14,10 @@ IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".webp", ".gif")
 IMAGE_PARTS = ("/iiif/", "/image/", "special:filepath")
 IMAGE_SIZES = (64, 128, 256, 512)
 
+# Patterns of a preview image tag and of an anchor.
+OG_IMAGE = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
+ANCHOR = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+
 
 def strip_html(c: Column | str) -> Column:
     """tags become blanks, whitespace is collapsed and trimmed."""
@@ -24,8 +28,7 @@ def strip_html(c: Column | str) -> Column:
 def og_image(html: Column | str) -> Column:
     """content of the og:image meta tag (property before content), else null."""
     html = F.col(html) if isinstance(html, str) else html
-    pattern = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
-    return F.nullif(T.strip(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    return F.nullif(T.strip(F.regexp_extract(html, OG_IMAGE, 1)), F.lit(""))
 
 
 def html_links(
@@ -43,10 +46,9 @@ def html_links(
     denied part or (when given) without an allowed part are dropped; of equal
     addresses (case aside) the first stays; at most ``limit`` per page.
     """
-    pattern = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
     pairs = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"),
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("inner"),
+        F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"),
+        F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"),
     )
     raw = pages.select(*keys, F.posexplode(pairs).alias("pos", "_a")).select(
         *keys, "pos", T.strip("_a.href").alias("href"), strip_html(F.col("_a.inner")).alias("title")
