@@ -134,20 +134,7 @@ def box_black_pixels(
             *[F.col(c).cast("long").alias(k) for k, c in zip("ltrb", ("cx1", "cy1", "cx2", "cy2"), strict=True)],
         )
     )
-    hits = (
-        _explode_tiles(crops)
-        .alias("q")
-        .join(_pixel_tiles(dark).alias("p"), _on(["page_id"]))
-        .groupBy(F.col("q.page_id").alias("page_id"), "box_index")
-        .agg(F.count(F.lit(1)).alias("black_pixels"))
-    )
-    black = F.coalesce(F.col("black_pixels"), F.lit(0))
-    return crops.join(hits, keys, "left").select(
-        *keys,
-        black.alias("black_pixels"),
-        "char_count",
-        F.when(F.col("char_count") > 0, black / F.col("char_count")).alias("black_pixels_per_char"),
-    )
+    return _count_pixels(crops, dark, keys)
 
 
 def page_black_px(box_ink: DataFrame) -> DataFrame:
@@ -160,6 +147,33 @@ def page_black_px(box_ink: DataFrame) -> DataFrame:
     )
 
 
+def _count_pixels(rects: DataFrame, dark: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Dark pixels per rectangle (key, char_count, l..b), rectangles without any included.
+
+    Hits and a zero row per rectangle go through one aggregate with map-side
+    combine, so no join back to the rectangles is needed.
+    """
+    hits = (
+        _explode_tiles(rects)
+        .alias("q")
+        .join(_pixel_tiles(dark).alias("p"), _on(["page_id"]))
+        .select(*[F.col(f"q.{k}").alias(k) for k in keys], "char_count", F.lit(1).cast("long").alias("_one"))
+    )
+    zeros = rects.select(*keys, "char_count", F.lit(0).cast("long").alias("_one"))
+    black = F.col("black_pixels")
+    return (
+        zeros.unionByName(hits)
+        .groupBy(*keys, "char_count")
+        .agg(F.sum("_one").alias("black_pixels"))
+        .select(
+            *keys,
+            "black_pixels",
+            "char_count",
+            F.when(F.col("char_count") > 0, black / F.col("char_count")).alias("black_pixels_per_char"),
+        )
+    )
+
+
 # --- persistent regions --------------------------------------------------------
 
 
@@ -279,21 +293,7 @@ def region_coverage(boxes: DataFrame, dark: DataFrame, width: int, height: int)
 def region_child_ink(boxes: DataFrame, dark: DataFrame, width: int, height: int) -> DataFrame:
     """A5: dark pixels and ink per character of each child of a region."""
     keys = ["page_id", "region_index", "box_index"]
-    rects = _child_rects(boxes, width, height)
-    hits = (
-        _explode_tiles(rects)
-        .alias("q")
-        .join(_pixel_tiles(dark).alias("p"), _on(["page_id"]))
-        .groupBy(F.col("q.page_id").alias("page_id"), "region_index", "box_index")
-        .agg(F.count(F.lit(1)).alias("black_pixels"))
-    )
-    black = F.coalesce(F.col("black_pixels"), F.lit(0))
-    return rects.join(hits, keys, "left").select(
-        *keys,
-        black.alias("black_pixels"),
-        "char_count",
-        F.when(F.col("char_count") > 0, black / F.col("char_count")).alias("black_pixels_per_char"),
-    )
+    return _count_pixels(_child_rects(boxes, width, height), dark, keys)
 
 
 def region_rollup(boxes: DataFrame, child_ink: DataFrame | None = None) -> DataFrame:
