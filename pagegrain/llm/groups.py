@@ -117,17 +117,43 @@ def _with(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def _sized(content: DataFrame, sets_of: SetsOf) -> DataFrame:
+    """Adds ``n``, the size of each content's set (the least, if an id has several contents)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in spans.slices(iter([whole]), "content"):
+                values, sizes = sets_of(batch["content"])
+                n = [len(np.unique(v)) for v in np.split(values, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], batch["content"], pa.array(n, pa.int64())], names=["id", "content", "n"]
+                )
+
+    return content.select("id", "content").mapInArrow(run, "id long, content string, n long")
+
+
 def link(
-    keyed: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], sets_of: SetsOf, num: int, den: int
+    keyed: DataFrame,
+    copies: DataFrame,
+    fetch: Callable[[DataFrame, int], DataFrame],
+    sets_of: SetsOf,
+    num: int,
+    den: int,
 ) -> DataFrame:
     """Components of the items that share keys and are similar enough: ``id``, ``comp`` of all but the least ids.
 
-    keyed: ``key``, ``id``, ``n`` (size of the set) and ``copies`` (how common the item is; the most common leads).
+    keyed: ``key``, ``id``. copies: ``id`` and ``copies``, how common an item is; the most common of a bucket leads.
     fetch: the contents (``id``, ``content``) of a table of ids with a known count.
     """
-    cand = store.keep(_shared_keys(keyed, "id"), "candidates")
-    ids = store.keep(cand.select("id").distinct(), "ids")
-    content = store.keep(fetch(ids, ids.count()), "contents")
+    shared = store.keep(_shared_keys(keyed, "id"), "candidates")
+    ids = store.keep(shared.select("id").distinct(), "ids")
+    count = ids.count()
+    content = store.keep(_sized(fetch(ids, count), sets_of), "contents")
+    about = content.groupBy("id").agg(F.min("n").alias("n")).join(
+        copies.join(small_side(ids, count), "id", "left_semi"), "id"
+    )
+    cand = store.keep(shared.join(about, "id"), "candidates")
+    store.drop(shared)
 
     def star(rows: DataFrame, rank: Column) -> DataFrame:
         lead = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n", "u")).alias("l"))
@@ -135,18 +161,19 @@ def link(
         pairs = pairs.filter(_possible(num, den, F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u")))
         return pairs.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
 
-    plain = cand.withColumn("u", F.lit(0).cast("long"))
-    links = store.keep(verify(star(plain, -F.col("copies")), content, sets_of, num, den), "verified")
+    none = F.lit(0).cast("long")
+    links = store.keep(verify(star(cand.withColumn("u", none), -F.col("copies")), content, sets_of, num, den), "verified")
     comps = components(links)
 
     # keys that still join several components
-    rest = store.keep(_shared_keys(_with(cand, comps), "comp"), "rest")
+    rest = store.keep(_shared_keys(_with(cand, comps), "comp").drop("copies"), "rest")
     rest_ids = store.keep(rest.select("id").distinct(), "ids")
     left = content.join(small_side(rest_ids, rest_ids.count()), "id", "left_semi")
-    rest = rest.join(_alone(left, sets_of), "id", "left").withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
+    rest = rest.join(_alone(left, sets_of), "id", "left").withColumn("u", F.coalesce("u", none))
     rest = store.keep(rest.filter(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "rest")
     more = store.keep(verify(star(rest, F.col("u") / F.col("n")), content, sets_of, num, den), "verified")
-    comps = components(links.unionByName(more))
+    links = links.unionByName(more)
+    comps = components(links)
 
     rest = _shared_keys(_with(rest.drop("comp"), comps), "comp")
     a, b = rest.alias("x"), rest.alias("y")
@@ -154,6 +181,4 @@ def link(
     on &= _possible(num, den, F.col("x.n"), F.col("x.u"), F.col("y.n"), F.col("y.u"))
     pairs = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     last = store.keep(verify(pairs, content, sets_of, num, den), "verified")
-    if last.isEmpty():
-        return comps
-    return components(links.unionByName(more).unionByName(last))
+    return comps if last.isEmpty() else components(links.unionByName(last))

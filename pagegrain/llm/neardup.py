@@ -117,13 +117,14 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, bands: int =
     some = signed.filter("n > 0 and doc_id is not null")
     classes = store.keep(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = some.join(classes, ["f1", "f2"]).filter("doc_id = rep")
-    keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n", "copies")
+    keyed = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    copies = classes.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies"))
 
     def fetch(ids: DataFrame, count: int) -> DataFrame:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("content"))
         return texts.join(groups.small_side(ids, count), "id", "left_semi")
 
-    comps = groups.link(keyed, fetch, shingles, num, den)
+    comps = groups.link(keyed, copies, fetch, shingles, num, den)
     out = signed.select("doc_id", "n", "f1", "f2").join(classes.drop("copies"), ["f1", "f2"], "left")
     out = out.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id"))

@@ -38,8 +38,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order of their starts and don't overlap."""
+#: Another value for each byte, for a second hash that is independent of the first.
+SECOND = np.random.default_rng(2).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans are in order of their starts and don't overlap.
+
+    ``table`` gives the value of each byte; without it, a byte's value is its number plus one.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
@@ -48,7 +55,8 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         last = int(ends[to - 1])
         up, down = powers(last - first + 1)
         total = np.zeros(last - first + 1, dtype=np.uint64)
-        np.cumsum((buf[first:last].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        part = buf[first:last].astype(np.uint64) + np.uint64(1) if table is None else table[buf[first:last]]
+        np.cumsum(part * up[:-1], out=total[1:])
         s, e = starts[at:to] - first, ends[at:to] - first
         out[at:to] = (total[e] - total[s]) * down[s]
         at = to
