@@ -9,6 +9,8 @@ library encodes the rest in bulk.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -30,6 +32,7 @@ class Encoder:
     """Ids of batches of texts. ``keep``: how many cuts the table may hold before it starts anew."""
 
     def __init__(self, path: str, keep: int = 2_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)

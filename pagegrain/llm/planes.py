@@ -128,8 +128,8 @@ def crc_shift(n: int) -> list[int]:
 
 def crc_join(crcs: list[int], sizes: list[int]) -> int:
     """CRC-32 of consecutive byte strings, by their CRCs and sizes."""
-    total = 0
-    for crc, n in zip(crcs, sizes, strict=True):
+    total = crcs[0]
+    for crc, n in zip(crcs[1:], sizes[1:], strict=True):
         shifted = 0
         for k, image in enumerate(crc_shift(n)):
             if total >> k & 1:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import packing, planes, store
+from pagegrain.llm import decontaminate, linedup, neardup, packing, planes, store
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,7 +23,10 @@ QUERIES = {
     f.__name__: _query(f)
     for f in (
         planes.op3_bit_planes,
+        decontaminate.op5_winnowing_decontamination,
         packing.op6_best_fit_packing,
+        neardup.op7_minmax_near_duplicates,
+        linedup.op10_fuzzy_line_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
