@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontaminate, linedup, neardup, packing, planes, store
+from pagegrain.llm import decontaminate, linedup, neardup, packing, passages, planes, rules, secrets, store, urls
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,11 +22,15 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 QUERIES = {
     f.__name__: _query(f)
     for f in (
+        rules.op1_isolation_rules,
+        urls.op2_url_rules,
         planes.op3_bit_planes,
         decontaminate.op5_winnowing_decontamination,
         packing.op6_best_fit_packing,
         neardup.op7_minmax_near_duplicates,
+        secrets.op8_markov_secrets,
+        passages.op9_attention_quality,
         linedup.op10_fuzzy_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_rules": urls.OP2_SQL}
