@@ -1,28 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again for the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again for the next.
+
+Every stage works on all rows that its predecessor kept and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagegrain.llm import decontaminate, linedup, neardup, packing, rules, store
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the isolation forest reject go."""
+    store.ready(spark)
+    return rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
-from pagegrain.llm import packing, store
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and similar lines one stays; documents without a line left go."""
+    store.ready(spark)
+    return linedup.dedupe_lines(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 ids."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays: five-word shingles, a similarity of 0.8."""
+    store.ready(spark)
+    gone = neardup.near_duplicates(docs, num=80, den=100).filter("not kept").select(F.col("doc_id").alias("__doc"))
+    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("__doc"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share passages with the benchmark go."""
+    store.ready(spark)
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of 2048 ids."""
     import public_tokenizers
 
+    store.ready(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
-    ("best_fit_packing", pack),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", packing_stage),
 ]
+#: SQL can't express the forest, the similar lines and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
-    store.ready(spark)
     docs = store.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontaminate, linedup, neardup, packing, passages, planes, rules, secrets, store, urls
+from pagegrain.llm import decontaminate, linedup, neardup, packing, passages, planes, rules, secrets, store, suffixes, urls
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ QUERIES = {
         rules.op1_isolation_rules,
         urls.op2_url_rules,
         planes.op3_bit_planes,
+        suffixes.op4_suffix_dedup,
         decontaminate.op5_winnowing_decontamination,
         packing.op6_best_fit_packing,
         neardup.op7_minmax_near_duplicates,
