@@ -24,10 +24,15 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+ORDINARY = re.compile(
+    r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]{6})(?:[A-Z]?[a-z]+|[A-Z]+)(?:_(?:[A-Z]?[a-z]+|[A-Z]+))*[0-9]{0,4}(?![A-Za-z0-9_])"
+)
 KINDS = ["assign", "access", "hex", "random"]
 #: Characters of the models; all others share the last place.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
+#: Weight of single characters in the models, in observed pairs.
+BACK = 20
 CODE = np.full(128, SIZE - 1, dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
@@ -57,8 +62,8 @@ def transitions(words: list[str]) -> np.ndarray:
 
 
 def ordinary(text: str) -> list[str]:
-    """Words of letters, digits and underscores that are long enough to teach the model of identifiers."""
-    return re.findall(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{6,}(?![A-Za-z0-9_])", text)
+    """Words and identifiers that teach the ordinary model: parts in one case, joined by _, digits at the end only."""
+    return ORDINARY.findall(text)
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -93,8 +98,10 @@ def train(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     total = np.zeros((2, SIZE, SIZE))
     for r in rows.collect():  # at most 2 * 68 * 68 rows
         total[r["kind"], r["pair"] // SIZE, r["pair"] % SIZE] = r["n"]
-    smooth = total + 1 / SIZE
-    logs = np.log(smooth / smooth.sum(axis=2, keepdims=True))
+    # pairs that are rare in a model lean on how common their second character is in it
+    single = total.sum(axis=1, keepdims=True) + 1
+    single = single / single.sum(axis=2, keepdims=True)
+    logs = np.log((total + BACK * single) / (total.sum(axis=2, keepdims=True) + BACK))
     return rows, logs[1] - logs[0]
 
 
