@@ -17,33 +17,33 @@ SPACES = (
     r"\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Letters that recognisers confuse, as "seen alternatives".
-CONFUSIONS = """
-O C0Q
-C OQG
-0 OQ
-Q O0
-e co
-c eo
-o ce
-l 1I|
-1 lI
-I l1|
-rn m
-m rn
-cl d
-d cl
-ii u
-u ii
-n ri
-v u
-s ſ
-ſ s
-a o
-r n
-5 S
-S 5
-"""
+# Letters that recognisers confuse, each with its other readings.
+CONFUSED = {
+    "0": "COQ",
+    "1": "Il|",
+    "5": "S",
+    "C": "0GOQ",
+    "G": "COQ",
+    "I": "1l|",
+    "O": "0CGQ",
+    "Q": "0CGO",
+    "S": "5",
+    "a": "o",
+    "c": "delo",
+    "d": "cl",
+    "e": "co",
+    "i": "nru",
+    "l": "1Icd|",
+    "m": "nr",
+    "n": "imr",
+    "o": "ace",
+    "r": "imn",
+    "s": "ſ",
+    "u": "iv",
+    "v": "u",
+    "|": "1Il",
+    "ſ": "s",
+}
 
 # Openings of placeholder texts that are not page text.
 REGION_MARK = "[Region - "
@@ -126,18 +126,12 @@ def latin1_text(c: Column | str) -> Column:
 
 
 def confusion_table() -> dict[str, str]:
-    """Suspect letter -> its possible readings, sorted; pairs are taken letter by letter."""
-    table: dict[str, set[str]] = {}
-    for line in CONFUSIONS.split("\n"):
-        if line:
-            letters = set(line.replace(" ", ""))
-            for letter in letters:
-                table.setdefault(letter, set()).update(letters - {letter})
-    return {k: "".join(sorted(v)) for k, v in sorted(table.items()) if v}
+    """Suspect letter -> its possible readings, sorted."""
+    return CONFUSED
 
 
 def _suspects() -> str:
-    return "".join(confusion_table())
+    return "".join(CONFUSED)
 
 
 def confusion_count(c: Column | str) -> Column:

@@ -73,14 +73,18 @@ def html_links(
 
 def image_urls_in_json(df: DataFrame, keys: Sequence[str], json: str) -> DataFrame:
     """F8: every string value in a nested JSON text that is the address of an image."""
+    # escaped backslashes and quotes stand aside as control characters, which JSON never holds as such: the pattern
+    # then needs no alternatives, whose matching would recurse over long strings
+    plain = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
     # keys are matched too, so that quotes pair up, and then dropped by their colon
-    pattern = F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+    pattern = F.lit(r'"([^"]*+)"(\s*+:)?')
     strings = F.arrays_zip(
-        F.regexp_extract_all(json, pattern, F.lit(1)).alias("s"),
-        F.regexp_extract_all(json, pattern, F.lit(2)).alias("colon"),
+        F.regexp_extract_all(plain, pattern, F.lit(1)).alias("s"),
+        F.regexp_extract_all(plain, pattern, F.lit(2)).alias("colon"),
     )
     values = df.select(*keys, F.explode(strings).alias("_x")).where(F.col("_x.colon") == "")
-    urls = values.select(*keys, T.strip(F.replace("_x.s", F.lit("\\/"), F.lit("/"))).alias("url"))
+    text = F.replace(F.replace("_x.s", F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    urls = values.select(*keys, T.strip(F.replace(text, F.lit("\\/"), F.lit("/"))).alias("url"))
     low = F.lower("url")
     image = F.lit(False)
     for e in IMAGE_ENDINGS:

@@ -4,12 +4,14 @@ A plain window partitioned by page or document sorts the whole group in one
 task.  The helpers here cut a group into buckets that follow its sort order,
 do the ordered work per bucket, and carry only one summary row per bucket
 across bucket borders.  ``bucket`` must be non-decreasing along ``order``;
-keys and bucket must not be null.
+keys and bucket must not be null, but for ``row_numbers``, where nulls order first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +45,8 @@ def row_numbers(
     With no keys it numbers the whole table; the only single-task step then
     sees one row per bucket.
     """
-    df = df.withColumn(_B, bucket)
+    # nulls order first, and so does their bucket
+    df = df.withColumn(_B, F.coalesce(bucket, F.lit(-(1 << 63)).cast("long")))
     offsets = (
         df.groupBy(*keys, _B)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -51,8 +54,11 @@ def row_numbers(
         .drop("_n")
     )
     inner = Window.partitionBy(*keys, _B).orderBy(*order)
+    other = offsets.select("_offset", *(F.col(k).alias(f"_o{n}") for n, k in enumerate([*keys, _B])))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_o{n}")) for n, k in enumerate([*keys, _B])))
     return (
-        df.join(offsets, [*keys, _B])
+        df.join(other, same)
+        .select(*df.columns, "_offset")
         .withColumn(name, (F.row_number().over(inner) + F.col("_offset") + (start - 1)).cast("long"))
         .drop(_B, "_offset")
     )

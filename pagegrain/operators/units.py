@@ -39,7 +39,7 @@ def pair_pages(pages: DataFrame, key: str = "document_id", pos: str = "page_numb
     run of yes-pages just before it has even length.
     """
     ranked = spread.row_numbers(pages, [key], [F.col(pos)], spread.int_bucket(pos), "_p")
-    no = F.when(~F.col("belongs_with_next"), F.col("_p"))
+    no = F.when(~F.coalesce("belongs_with_next", F.lit(False)), F.col("_p"))
     marked = spread.running(ranked, [key], "_p", no, "_no", "max")
     starts = (F.col("_p") - 1 - F.coalesce("_no", F.lit(0))) % 2 == 0
     placed = marked.select(

@@ -107,28 +107,28 @@ def _(b):
     )
 
 
-_MOST = "SELECT entity_uri FROM a_mention WHERE contains(entity_uri, 'Person_') GROUP BY entity_uri ORDER BY count(*) DESC, entity_uri LIMIT 3"
+#: The people whose companions are asked for, as one network view does.
+ANCHORS = ["Person_1", "Person_2", "Person_4"]
 
 
-def _most_mentioned(b):
-    people = b.a_mention.where(F.contains("entity_uri", F.lit("Person_")))
-    return people.groupBy("entity_uri").count().orderBy(F.desc("count"), "entity_uri").limit(3)
+def _anchors(b):
+    return b.table("region").sparkSession.createDataFrame([(a,) for a in ANCHORS], "entity_uri string")
 
 
 def _co_sql(grain: str, extra: str = "") -> str:
     return f"""WITH m AS (SELECT DISTINCT {grain} AS g, entity_uri FROM a_mention {extra} WHERE contains(entity_uri, 'Person_'))
-    SELECT h.entity_uri AS anchor_uri, m.entity_uri, count(*) AS places FROM m JOIN m h USING (g) WHERE h.entity_uri IN ({_MOST}) AND m.entity_uri <> h.entity_uri GROUP BY ALL"""
+    SELECT h.entity_uri AS anchor_uri, m.entity_uri, count(*) AS places FROM m JOIN m h USING (g) WHERE h.entity_uri IN ({', '.join(repr(a) for a in ANCHORS)}) AND m.entity_uri <> h.entity_uri GROUP BY ALL"""
 
 
 @query("j13_co_mentions_source", _co_sql("source_box"))
 def _(b):
-    return P.co_mentions(b.a_mention, _most_mentioned(b))
+    return P.co_mentions(b.a_mention, _anchors(b))
 
 
 @query("j13_co_mentions_document", _co_sql("document_id", "JOIN a_page p ON p.id = page_id"))
 def _(b):
     with_document = b.a_mention.join(b.a_page.select(F.col("id").alias("page_id"), "document_id"), "page_id")
-    return P.co_mentions(with_document, _most_mentioned(b), "document_id")
+    return P.co_mentions(with_document, _anchors(b), "document_id")
 
 
 @query(
@@ -241,10 +241,10 @@ def _(b):
 @query(
     "x7_entity_preview",
     f"""WITH rich AS ({RICH}), d AS ({_DETAILS}) SELECT d.entity_uri, d.name, CASE WHEN starts_with(d.entity_uri, 'Place_') THEN 'place' ELSE 'person' END AS kind, replace(d.wd, '{_ENT}', '') AS wikidata_id, d.main_image_url, c.prop_id, c.value
-    FROM d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY entity_uri ORDER BY prop_id, value) AS rn FROM ({_CLAIMS})) c ON c.entity_uri = d.entity_uri AND c.rn <= 1""",
+    FROM d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY entity_uri ORDER BY prop_id, value) AS rn FROM ({_CLAIMS})) c ON c.entity_uri = d.entity_uri AND c.rn <= 20""",
 )
 def _(b):
-    return G.entity_preview(rich(b), most=1)
+    return G.entity_preview(rich(b))
 
 
 @query(

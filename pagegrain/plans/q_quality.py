@@ -199,11 +199,11 @@ def _(b):
 @query(
     "a17_confirmed_pages",
     f"""SELECT page_id, count(*) FILTER (box_type = 'ocr') AS relevant, count(*) FILTER (box_type = 'ocr' AND review_status IN ('confirmed', 'auto_confirmed')) AS confirmed
-    FROM a_box JOIN ({S.NEWEST}) r USING (page_id) WHERE r.id % 3 <> 1 GROUP BY page_id
+    FROM a_box JOIN ({S.NEWEST}) r USING (page_id) GROUP BY page_id
     HAVING count(*) FILTER (box_type = 'ocr') = 0 OR count(*) FILTER (box_type = 'ocr' AND review_status IN ('confirmed', 'auto_confirmed')) / count(*) FILTER (box_type = 'ocr') >= 0.4""",
 )
 def _(b):
-    newest = B.newest_result(b.a_result).where(F.col("id") % 3 != 1).select("page_id")
+    newest = B.newest_result(b.a_result).select("page_id")
     return Q.confirmed_pages(b.a_box.join(newest, "page_id", "left_semi"), 0.4)
 
 

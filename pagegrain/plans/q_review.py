@@ -235,20 +235,19 @@ def _(b):
 @query(
     "m20_apply_model_review",
     f"""SELECT {_BOX}, t AS text, CASE WHEN sure THEN 'auto_confirmed' ELSE review_status END AS review_status, 1 AS reviews, CASE WHEN sure THEN 'auto_confirmed' ELSE 'reviewed' END AS outcome
-    FROM (SELECT b.page_id, b.box_index, b.review_status, {S.strip("CASE WHEN length(b.text) % 2 = 0 AND b.text <> '' THEN replace(substr(b.text, 1, 20), 'e', 'E') ELSE b.text END")} AS t,
-      j.confidence >= 0.5 AND j.flag AS sure FROM a_box b JOIN ({JUDGED}) j USING (page_id, box_index) WHERE b.box_type = 'ocr')""",
+    FROM (SELECT b.page_id, b.box_index, b.review_status, {S.strip("CASE WHEN length(b.text) % 2 = 0 AND b.text <> '' THEN replace(b.text, 'e', 'E') ELSE b.text END")} AS t,
+      j.confidence >= 0.5 AND j.flag AS sure FROM a_box b JOIN ({JUDGED}) j USING (page_id, box_index))""",
 )
 def _(b):
     answers = judged(b).select(
         "page_id",
         "box_index",
-        F.when(F.length("text") % 2 == 0, F.replace(F.substring("text", 1, 20), F.lit("e"), F.lit("E"))).otherwise(F.lit("")).alias("corrected_text"),
+        F.when(F.length("text") % 2 == 0, F.replace("text", F.lit("e"), F.lit("E"))).otherwise(F.lit("")).alias("corrected_text"),
         "confidence",
         F.col("flag").alias("auto_confirm"),
         F.lit("").alias("reason"),
     )
-    boxes = b.a_box.where(F.col("box_type") == "ocr")
-    return R.apply_model_review(boxes, answers, _now(), 0.5).select(
+    return R.apply_model_review(b.a_box, answers, _now(), 0.5).select(
         "page_id",
         "box_index",
         "text",

@@ -16,7 +16,7 @@ from pagegrain.plans.registry import query
 
 UNITS = """
 SELECT unit_id, unit_id % 10 AS document_id, any_value(is_public) AS is_public, any_value(year) AS year, concat('Akte ', unit_id) AS title,
-  CASE WHEN unit_id % 4 <> 0 THEN substr(max(CASE WHEN pos = 0 THEN text END), 1, 80) END AS summary,
+  CASE WHEN unit_id % 4 <> 0 THEN max(CASE WHEN pos = 0 THEN text END) END AS summary,
   CASE WHEN unit_id % 5 = 1 THEN 'Musik' END AS topic, CASE WHEN unit_id % 6 = 2 THEN 'Dresden' END AS place
 FROM a_unit_page GROUP BY unit_id
 """
@@ -37,7 +37,7 @@ def units(b):
         "is_public",
         "year",
         F.concat(F.lit("Akte "), u.cast("string")).alias("title"),
-        F.when(u % 4 != 0, F.substring("_first", 1, 80)).alias("summary"),
+        F.when(u % 4 != 0, F.col("_first")).alias("summary"),
         F.when(u % 5 == 1, "Musik").alias("topic"),
         F.when(u % 6 == 2, "Dresden").alias("place"),
     )
@@ -57,13 +57,15 @@ def turn_texts(b):
 
 @query(
     "w4_pair_pages",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY pos) AS p FROM a_unit_page),
-    f AS (SELECT *, max(CASE WHEN NOT belongs_with_next THEN p END) OVER (PARTITION BY unit_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS no FROM r),
+    """WITH r AS (SELECT *, page_id % 5 <> 3 AND belongs_with_next AS yes, row_number() OVER (PARTITION BY unit_id ORDER BY pos) AS p FROM a_unit_page),
+    f AS (SELECT *, max(CASE WHEN NOT yes THEN p END) OVER (PARTITION BY unit_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS no FROM r),
     s AS (SELECT *, CASE WHEN (p - 1 - coalesce(no, 0)) % 2 = 0 THEN p ELSE p - 1 END AS unit_start FROM f)
     SELECT unit_id, unit_start, max(CASE WHEN p = unit_start THEN page_id END) AS first_page, max(CASE WHEN p > unit_start THEN page_id END) AS second_page, count(*) AS pages FROM s GROUP BY unit_id, unit_start""",
 )
 def _(b):
-    return U.pair_pages(b.a_unit_page, "unit_id", "pos")
+    # some pages have no flag
+    flag = F.when(F.col("page_id") % 5 != 3, F.col("belongs_with_next"))
+    return U.pair_pages(b.a_unit_page.withColumn("belongs_with_next", flag), "unit_id", "pos")
 
 
 def pages(b):
@@ -220,7 +222,7 @@ def _(b):
 
 _ENTRIES = f"""
 SELECT DISTINCT document_id, kind, {S.strip('entry')} AS entry FROM (
-  SELECT unit_id % 10 AS document_id, 'phrase' AS kind, substr(text, 1, 12) AS entry FROM a_unit_page
+  SELECT unit_id % 10 AS document_id, 'phrase' AS kind, text AS entry FROM a_unit_page
   UNION ALL SELECT unit_id % 10, 'name', person_name FROM a_unit_page
   UNION ALL SELECT unit_id % 10, 'phrase', unnest(['alpha', concat('  beta', unit_id % 10), 'gamma', '']) FROM a_unit_page
   UNION ALL SELECT unit_id % 10, 'name', unnest(['Anna', ' Person 3 ']) FROM a_unit_page)
@@ -232,7 +234,7 @@ def _phrases(b):
     p = b.a_unit_page
     u = p.select(
         (F.col("unit_id") % 10).alias("document_id"),
-        F.array(F.substring("text", 1, 12)).alias("extracted_phrases"),
+        F.array("text").alias("extracted_phrases"),
         F.array("person_name").alias("extracted_names"),
     )
     settings = p.select((F.col("unit_id") % 10).alias("document_id")).distinct().select(
@@ -371,10 +373,10 @@ def _(b):
 # --- people and search -----------------------------------------------------------
 
 
-@query("f3_slug", f"SELECT DISTINCT name, {SLUG} AS slug FROM (SELECT person_name AS name FROM a_unit_page UNION ALL SELECT substr(text, 1, 30) FROM a_unit_page)")
+@query("f3_slug", f"SELECT DISTINCT name, {SLUG} AS slug FROM (SELECT person_name AS name FROM a_unit_page UNION ALL SELECT text FROM a_unit_page)")
 def _(b):
     p = b.a_unit_page
-    names = p.select(F.col("person_name").alias("name")).unionByName(p.select(F.substring("text", 1, 30).alias("name")))
+    names = p.select(F.col("person_name").alias("name")).unionByName(p.select(F.col("text").alias("name")))
     return names.distinct().select("name", T.slug("name").alias("slug"))
 
 

@@ -363,8 +363,10 @@ def _pairs(flags):
 
 def test_pair_pages_against_a_sequential_loop(spark):
     rnd = random.Random(1)
-    runs = {d: [rnd.random() < p for _ in range(n)] for d, (n, p) in enumerate([(1, 1), (2, 1), (7, 0.9), (40, 0.5), (9000, 0.97), (5, 0), (6, 1)])}
-    data = [(d, 10 + 3 * i, i, f) for d, flags in runs.items() for i, f in enumerate(flags)]
+    # a missing flag means no
+    runs = {d: [None if rnd.random() < 0.02 else rnd.random() < p for _ in range(n)] for d, (n, p) in enumerate([(1, 1), (2, 1), (7, 0.9), (40, 0.5), (9000, 0.97), (5, 0), (6, 1)])}
+    # the first page of a document may have no number
+    data = [(d, 10 + 3 * i if i else None, i, f) for d, flags in runs.items() for i, f in enumerate(flags)]
     df = spark.createDataFrame(data, "document_id long, page_number long, page_id long, belongs_with_next boolean")
     got = {}
     for d, first, second in rows(U.pair_pages(df), "document_id", "first_page", "second_page"):

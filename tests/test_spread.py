@@ -32,6 +32,13 @@ def test_row_numbers(hot, width):
     assert rows(got.select("g", "k", "pos")) == rows(want.select("g", "k", "pos"))
 
 
+def test_row_numbers_with_nulls(spark):
+    data = [(g, k, i) for i, (g, k) in enumerate([(None, 3), (None, None), (1, None), (1, 70), (1, 2), (2, 5)])]
+    df = spark.createDataFrame(data, "g long, k long, i long")
+    got = spread.row_numbers(df, ["g"], [F.col("k")], spread.int_bucket("k", 64))
+    assert {r["i"]: r["pos"] for r in got.collect()} == {0: 2, 1: 1, 2: 1, 3: 3, 4: 2, 5: 1}
+
+
 def test_global_row_numbers(hot):
     got = spread.row_numbers(hot, [], [F.col("k")], spread.int_bucket("k", 64), start=0)
     assert rows(got.select("k", "pos")) == [(i, i) for i in range(10_000)]
