@@ -175,10 +175,13 @@ def link(
     links = links.unionByName(more)
     comps = components(links)
 
-    rest = _shared_keys(_with(rest.drop("comp"), comps), "comp")
+    rest = store.keep(_shared_keys(_with(rest.drop("comp"), comps), "comp"), "rest")
+    # a pair that shares several keys is made at the least of them only
+    rest = rest.join(rest.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
     a, b = rest.alias("x"), rest.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     on &= _possible(num, den, F.col("x.n"), F.col("x.u"), F.col("y.n"), F.col("y.u"))
+    on &= F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     pairs = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     last = store.keep(verify(pairs, content, sets_of, num, den), "verified")
     return comps if last.isEmpty() else components(links.unionByName(last))
