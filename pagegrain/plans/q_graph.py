@@ -487,7 +487,6 @@ _ENTITIES = """
 SELECT s_suppkey AS entity_id, CASE s_suppkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 2) ELSE concat('old ', p_name) END AS name,
   CASE WHEN s_suppkey % 2 = 0 THEN 'STAND' ELSE '' END AS context, 'place' AS kind FROM supplier JOIN part ON p_partkey = s_suppkey
 """
-_WORDS = "list_distinct(string_split(lower({}), ' '))"
 
 
 def _entities(b):
@@ -505,7 +504,7 @@ def _entities(b):
     "x11_match_authority",
     f"""WITH e AS ({_ENTITIES.strip()}), m AS (SELECT e.*, p_partkey AS candidate_id, p_name AS label, least(1.0, CASE WHEN lower(name) = lower(p_name) THEN 0.5 WHEN contains(lower(p_name), lower(name)) OR contains(lower(name), lower(p_name)) THEN 0.3 ELSE 0.0 END
       + CASE WHEN context <> '' AND contains(lower(p_type), lower(context)) THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(lower(p_type), 'stadt|ort|place') THEN 0.1 ELSE 0.0 END) AS score
-      FROM e JOIN part ON list_has_all({_WORDS.format('p_name')}, {_WORDS.format('name')}) OR list_has_all({_WORDS.format('name')}, {_WORDS.format('p_name')})),
+      FROM e JOIN part ON contains(lower(p_name), lower(name)) OR contains(lower(name), lower(p_name))),
     r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, candidate_id) AS rank FROM m)
     SELECT entity_id, name, candidate_id, label, CAST(round(score, 3) AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""",
 )

@@ -475,6 +475,23 @@ def test_match_authority_prefers_exact_names(spark):
     assert got == [("Q1", 0.8), ("Q4", 0.5), ("Q2", 0.4)]
 
 
+def test_match_authority_against_all_pairs(spark):
+    rnd = random.Random(7)
+    texts = ["", "a", "Bach", "Offenbach", "bach am Main", "Ach", "ff", "Main", "AM", "Dresden"]
+    descriptions = ["", "Stadt in Hessen", "Verein", "Person", "Ort am Main", "Club in hessen"]
+    e = [(i, rnd.choice(texts), rnd.choice(["", "Hessen", "main", "x"]), rnd.choice(["place", "person", "other"])) for i in range(60)]
+    c = [(f"Q{i:03}", rnd.choice(texts), rnd.choice(descriptions)) for i in range(90)]
+    ef = spark.createDataFrame(e, "entity_id long, name string, context string, kind string")
+    cf = spark.createDataFrame(c, "id string, label string, description string")
+    pairs = ef.join(cf, F.contains(F.lower("label"), F.lower("name")) | F.contains(F.lower("name"), F.lower("label")))
+    score = GR.match_score(*[F.col(x) for x in ("name", "label", "description", "context", "kind")])
+    best = {}
+    for i, q, s in rows(pairs.withColumn("s", score), "entity_id", "id", "s"):
+        best.setdefault(i, []).append((-round(s, 6), q))
+    want = sorted((i, q, k + 1) for i, v in best.items() for k, (_, q) in enumerate(sorted(v)[:10]))
+    assert rows(match_authority(ef, cf), "entity_id", "candidate_id", "rank") == want
+
+
 def test_resolve_labels_fall_back(spark):
     ids = spark.createDataFrame([("Q1",), ("Q2",), ("Q3",)], "id string")
     labels = spark.createDataFrame([("Q1", "de", "eins"), ("Q1", "en", "one"), ("Q2", "en", "two"), ("Q3", "fr", "trois")], "id string, language string, label string")
