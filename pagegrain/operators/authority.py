@@ -87,7 +87,7 @@ def match_authority(entities: DataFrame, candidates: DataFrame, most: int = 10)
         .select(*_E, *_C)
         .unionByName(contained(c, e, _C, "_cw", "_ew").select(*_E, *_C))
         .unionByName(_anyway(e, c.where("label = ''"), ids, most))
-        .unionByName(_anyway(e.where("name = ''"), c, ids, most))
+        .unionByName(_anyway(e.where("name = ''"), c.where("label <> ''"), ids, most))
         .distinct()
         .withColumn(
             "score",
