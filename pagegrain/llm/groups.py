@@ -32,16 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links ``a``, ``b``: ``id`` and ``comp``, the least id of its component.
 
     Large-star and small-star rounds; each takes the least neighbour by an aggregate and joins it back, so a node
-    with any number of links is no group of its own. Rounds end when the links no longer change.
+    with any number of links is no group of its own. Rounds end when every link leads straight to a least id.
     """
     down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = store.keep(down.distinct(), "links")
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark[0] == 0 or mark == before:
-            break
-        before = mark
+    # done: each id has one link at most, upwards or downwards, but for the least ones, which have no link downwards
+    while not _ends(now).filter("n > 1 or (n = 1 and above)").isEmpty():
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -54,6 +50,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    """Per id the number of its links to lesser ids, and whether greater ids link to it."""
+    down = links.select(F.col("a").alias("id"), F.lit(1).alias("n"), F.lit(False).alias("above"))
+    up = links.select(F.col("b").alias("id"), F.lit(0).alias("n"), F.lit(True).alias("above"))
+    return down.unionByName(up).groupBy("id").agg(F.sum("n").alias("n"), F.max("above").alias("above"))
+
+
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after some more links."""
+    if more.isEmpty():
+        return comps
+    return components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+
+
 def _possible(num: int, den: int, na: Column, ua: Column, nb: Column, ub: Column) -> Column:
     """Whether den * |A and B| >= num * |A or B| can hold, by sizes and numbers of elements nobody else has."""
     common = F.least(na - ua, nb - ub)
@@ -65,8 +75,7 @@ def verify(pairs: DataFrame, content: DataFrame, sets_of: SetsOf, num: int, den:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in spans.slices(iter([whole]), "ta", "tb", most=1 << 20):
                 sides = []
                 for name in ("ta", "tb"):
                     values, sizes = sets_of(batch[name])
@@ -96,7 +105,7 @@ def _alone(content: DataFrame, sets_of: SetsOf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in spans.slices(iter([whole]), "content"):
+            for batch in spans.slices(iter([whole]), "content", most=1 << 20):
                 values, sizes = sets_of(batch["content"])
                 ids = np.repeat(batch["id"].to_numpy(), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids)], names=["e", "id"])
@@ -113,6 +122,43 @@ def _shared_keys(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(keys, "key")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Distinct ``key``, ``id`` of the keys with several ids, by one shuffle.
+
+    Rows are sorted by range over both columns, so a key of very many ids is dealt to several tasks, and read in order.
+    A lone id next to the border of a partition may stay; it finds no partner later.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held = None  # the last row, and the first id of its key while no second one is met
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, id_ = batch["key"].to_numpy(), batch["id"].to_numpy()
+            new_key, new = np.ones(len(key), bool), np.ones(len(key), bool)
+            new_key[1:] = key[1:] != key[:-1]
+            new[1:] = new_key[1:] | (id_[1:] != id_[:-1])
+            if last:
+                new_key[0] = key[0] != last[0]
+                new[0] = new_key[0] or id_[0] != last[1]
+            at = np.flatnonzero(new)
+            k, i, first = key[at], id_[at], new_key[at]
+            if len(at):
+                keep = ~first
+                keep[:-1] |= ~first[1:]
+                keep[0] |= last is None
+                if held and not first[0]:
+                    k, i, keep = np.append(k, held[0]), np.append(i, held[1]), np.append(keep, True)
+                held = None if keep[len(at) - 1] else (key[at[-1]], id_[at[-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(i[keep])], names=["key", "id"])
+            last = (key[-1], id_[-1])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "id"])
+
+    ordered = keyed.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    return ordered.mapInArrow(run, "key long, id long")
+
+
 def _with(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -122,7 +168,7 @@ def _sized(content: DataFrame, sets_of: SetsOf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in spans.slices(iter([whole]), "content"):
+            for batch in spans.slices(iter([whole]), "content", most=1 << 20):
                 values, sizes = sets_of(batch["content"])
                 n = [len(np.unique(v)) for v in np.split(values, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays(
@@ -145,7 +191,7 @@ def link(
     keyed: ``key``, ``id``. copies: ``id`` and ``copies``, how common an item is; the most common of a bucket leads.
     fetch: the contents (``id``, ``content``) of a table of ids with a known count.
     """
-    shared = store.keep(_shared_keys(keyed, "id"), "candidates")
+    shared = store.keep(_shared(keyed), "candidates")
     ids = store.keep(shared.select("id").distinct(), "ids")
     count = ids.count()
     content = store.keep(_sized(fetch(ids, count), sets_of), "contents")
@@ -172,8 +218,7 @@ def link(
     rest = rest.join(_alone(left, sets_of), "id", "left").withColumn("u", F.coalesce("u", none))
     rest = store.keep(rest.filter(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "rest")
     more = store.keep(verify(star(rest, F.col("u") / F.col("n")), content, sets_of, num, den), "verified")
-    links = links.unionByName(more)
-    comps = components(links)
+    comps = _joined(comps, more)
 
     rest = store.keep(_shared_keys(_with(rest.drop("comp"), comps), "comp"), "rest")
     # a pair that shares several keys is made at the least of them only
@@ -184,4 +229,4 @@ def link(
     on &= F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     pairs = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     last = store.keep(verify(pairs, content, sets_of, num, den), "verified")
-    return comps if last.isEmpty() else components(links.unionByName(last))
+    return _joined(comps, last)

@@ -76,7 +76,7 @@ def sign_lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """A row per line that isn't blank: ``doc_id``, hash ``th`` of the text, ``line``, hashes ``h``, ``h2``, ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans.slices(batches, "text", 1 << 20):
+        for batch in spans.slices(batches, "text", most=1 << 20):
             buf, starts, ends = spans.pack(batch["text"])
             feeds = np.flatnonzero(buf == 10)
             s, e = feeds[:-1] + 1, feeds[1:]
@@ -143,7 +143,11 @@ def line_decisions(
         return _pick(text.select("text", "w.h", "w.line"))
 
     comps = groups.link(keyed, classes.select(F.col("h").alias("id"), "copies"), fetch, line_sets, num, den)
-    placed = lines.select("doc_id", "th", "line", "h").join(classes.filter("lo = hi").select("h"), "h")
+    # lines that occur several times or are like others
+    several = classes.filter("copies > 1").select("h").unionByName(comps.select(F.col("id").alias("h")))
+    several = several.unionByName(comps.select(F.col("comp").alias("h"))).distinct()
+    several = several.join(classes.filter("lo <> hi").select("h"), "h", "left_anti")
+    placed = lines.select("doc_id", "th", "line", "h").join(several, "h")
     placed = placed.join(comps.withColumnRenamed("id", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     place = F.struct("doc_id", "th", "line")
     firsts = placed.groupBy("comp").agg(F.min(place).alias("first"), F.max(place).alias("last"))

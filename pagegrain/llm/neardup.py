@@ -75,7 +75,7 @@ def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """Per row of documents: ``doc_id``, set size ``n``, a 128-bit fingerprint of the set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans.slices(batches, "text", 2 << 20):
+        for batch in spans.slices(batches, "text", most=2 << 20):
             values, sizes = shingles(batch["text"])
             n, prints = np.zeros(len(sizes), dtype=np.int64), np.zeros((len(sizes), 2), dtype=np.uint64)
             for k, part in enumerate(np.split(values, np.cumsum(sizes)[:-1])):

@@ -146,7 +146,7 @@ def score(docs: DataFrame, weights: dict | None, cut: float = 0.3) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans.slices(batches, "text", 2 << 20):
+        for batch in spans.slices(batches, "text", most=2 << 20):
             x, bags = encode(batch["text"])
             logit = _forward(weights, x.astype(np.float64), bags)[-1] if weights else np.zeros(len(bags))
             p = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))

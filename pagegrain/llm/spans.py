@@ -63,12 +63,13 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows with about ``most`` bytes of text; a longer text is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        each = (pa.compute.fill_null(pa.compute.binary_length(batch[c]), 0) for c in columns)
+        sizes = sum(e.to_numpy(zero_copy_only=False).astype(np.int64) for e in each)
         run = np.cumsum(sizes) // most
         cuts = np.flatnonzero(np.diff(run)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):

@@ -66,7 +66,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans.slices(batches, "text", 1 << 20):
+        for batch in spans.slices(batches, "text", most=1 << 20):
             buf, starts, ends = spans.pack(batch["text"])
             at, g, c, doc = anchors(buf, starts, ends, length)
             did = batch["did"].to_numpy()[doc]
