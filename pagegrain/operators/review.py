@@ -49,7 +49,10 @@ def touched_pages(chosen: DataFrame) -> DataFrame:
     return chosen.select("page_id").distinct()
 
 
-def _mark(boxes: DataFrame, chosen: DataFrame) -> DataFrame:
+def _mark(boxes: DataFrame, chosen: DataFrame | Column) -> DataFrame:
+    """Mark the chosen rows; a condition on the row itself needs no join."""
+    if isinstance(chosen, Column):
+        return boxes.withColumn("_hit", F.coalesce(chosen, F.lit(False)))
     return boxes.join(chosen.select(*KEY).withColumn("_hit", F.lit(True)), KEY, "left").withColumn(
         "_hit", F.coalesce("_hit", F.lit(False))
     )
@@ -64,7 +67,7 @@ def _set(marked: DataFrame, values: dict[str, Column]) -> DataFrame:
     return marked.withColumns(out).drop("_hit")
 
 
-def change_status(boxes: DataFrame, chosen: DataFrame, status: str, now: Column) -> DataFrame:
+def change_status(boxes: DataFrame, chosen: DataFrame | Column, status: str, now: Column) -> DataFrame:
     """M1: set the review status; pending and new clear the review time, others set it."""
     if status not in BATCH_STATES:
         raise ValueError(f"unknown review status: {status}")
@@ -82,8 +85,7 @@ def change_status(boxes: DataFrame, chosen: DataFrame, status: str, now: Column)
 
 def set_state(boxes: DataFrame, page_id: int, box_index: int, status: str, now: Column) -> DataFrame:
     """M4: confirm, reject or ignore one box."""
-    one = boxes.where((F.col("page_id") == page_id) & (F.col("box_index") == box_index))
-    return change_status(boxes, one.select(*KEY), status, now)
+    return change_status(boxes, (F.col("page_id") == page_id) & (F.col("box_index") == box_index), status, now)
 
 
 def discard_and_requeue(boxes: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -108,11 +110,13 @@ def requeue_jobs(chosen: DataFrame, pages: DataFrame, jobs: DataFrame) -> DataFr
 
 
 def delete_boxes(boxes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """M3: drop the chosen boxes; the indexes of the rest close up."""
-    kept = boxes.join(chosen.select(*KEY), KEY, "left_anti").withColumnRenamed("box_index", "_old")
-    return spread.row_numbers(
-        kept, ["page_id"], [F.col("_old")], spread.int_bucket("_old"), "box_index", start=0
-    ).drop("_old")
+    """M3: drop the chosen boxes; the indexes of the rest of their pages close up, other pages stay as they are."""
+    pages = touched_pages(chosen)
+    kept = boxes.join(chosen.select(*KEY), KEY, "left_anti").join(pages, "page_id", "left_semi")
+    renumbered = spread.row_numbers(
+        kept.withColumnRenamed("box_index", "_old"), ["page_id"], [F.col("_old")], spread.int_bucket("_old"), "box_index", start=0
+    )
+    return boxes.join(pages, "page_id", "left_anti").unionByName(renumbered.select(*boxes.columns))
 
 
 def set_text(boxes: DataFrame, texts: DataFrame, now: Column, confirm: bool = False) -> DataFrame:
