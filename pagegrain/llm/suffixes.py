@@ -362,10 +362,10 @@ def dedupe(docs: DataFrame, length: int = 100) -> DataFrame:
     copy = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
     marked = marked.withColumn("copy", copy)
     unique, ids = _distinct_ids(marked.filter(~copy), docs)
-    found = repeated_stretches(unique, length)
+    found = store.keep(repeated_stretches(unique, length), "stretches")
     per_doc = found.groupBy("did").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     with_id = marked.join(ids, ["doc", "h1"], "left") if ids is not None else marked.withColumn("did", F.col("doc"))
-    joined = with_id.join(per_doc, "did", "left").select("doc_id", "text", "copy", "spans")
+    joined = with_id.join(groups.small_side(per_doc, found.count()), "did", "left").select("doc_id", "text", "copy", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
