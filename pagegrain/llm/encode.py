@@ -4,15 +4,18 @@ A byte-level vocabulary splits a text into pieces and merges inside pieces only,
 stands before it. Two kinds of places always are bounds of pieces: between an ASCII letter and another ASCII
 character, and before a single space, or around a line feed, that no white space follows. Texts are cut there; equal cuts share
 their ids. Cuts are known by a 64-bit hash; a table bounded by ``keep`` holds the ids of those met so far, and the
-library encodes the rest in bulk.
+library encodes the rest in bulk. Literals of added tokens (``<|endoftext|>``) come first, as in the library: they
+give their id, and what lies between two of them is encoded as a text of its own.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from pagegrain.llm import spans
 
@@ -36,7 +39,13 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take blanks or need word bounds are not supported")
+        self.added = {t.content: k for k, t in added.items() if t.content}
+        # the longest of those that start at one place
+        literals = sorted(self.added, key=len, reverse=True)
+        self.literal = re.compile("(" + "|".join(map(re.escape, literals)) + ")") if literals else None
         # the same merges for a list of words, one per line
         self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence(
@@ -94,6 +103,26 @@ class Encoder:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other (unsigned 32-bit), and the number of ids of each text."""
+        has = [pa.compute.any(pa.compute.match_substring(texts, x)).as_py() for x in self.added]
+        if not any(has):
+            return self._between(texts)
+        parts, literals, counts = [], [], []
+        for text in texts.to_pylist():
+            found = self.literal.split(text or "")  # text, literal, text, ..., text
+            parts += found[::2]
+            literals += found[1::2]
+            counts.append(len(found) // 2)
+        ids, sizes = self._between(pa.array(parts, pa.string()))
+        counts = np.array(counts, dtype=np.int64)
+        last = np.cumsum(counts + 1) - 1  # the part that ends each text
+        inner = np.ones(len(parts), dtype=bool)
+        inner[last] = False
+        to = np.cumsum(sizes)
+        ids = np.insert(ids, to[inner], np.array([self.added[x] for x in literals], dtype=np.uint32))
+        return ids, np.diff(to[last], prepend=0) + counts
+
+    def _between(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``batch``, for texts without literals of added tokens."""
         buf, starts, ends = spans.pack(texts)
         full = ends > starts
         is_cut = np.zeros(len(buf) + 1, dtype=bool)
