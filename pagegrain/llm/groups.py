@@ -57,7 +57,7 @@ def _ends(links: DataFrame) -> DataFrame:
     return down.unionByName(up).groupBy("id").agg(F.sum("n").alias("n"), F.max("above").alias("above"))
 
 
-def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
     """Components after some more links."""
     if more.isEmpty():
         return comps
@@ -218,7 +218,7 @@ def link(
     rest = rest.join(_alone(left, sets_of), "id", "left").withColumn("u", F.coalesce("u", none))
     rest = store.keep(rest.filter(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "rest")
     more = store.keep(verify(star(rest, F.col("u") / F.col("n")), content, sets_of, num, den), "verified")
-    comps = _joined(comps, more)
+    comps = joined(comps, more)
 
     rest = store.keep(_shared_keys(_with(rest.drop("comp"), comps), "comp"), "rest")
     # a pair that shares several keys is made at the least of them only
@@ -229,4 +229,4 @@ def link(
     on &= F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     pairs = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     last = store.keep(verify(pairs, content, sets_of, num, den), "verified")
-    return _joined(comps, last)
+    return joined(comps, last)
