@@ -6,7 +6,6 @@ Every stage works on all rows that its predecessor kept and, but for the last, r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagegrain.llm import decontaminate, linedup, neardup, packing, rules, store
 
@@ -26,8 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: five-word shingles, a similarity of 0.8."""
     store.ready(spark)
-    gone = neardup.near_duplicates(docs, num=80, den=100).filter("not kept").select(F.col("doc_id").alias("__doc"))
-    return docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("__doc"), "left_anti")
+    return neardup.keep_one(docs, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
