@@ -7,7 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagegrain.llm import decontaminate, linedup, neardup, packing, passages, planes, rules, secrets, store, suffixes, urls
+from pagegrain.llm import (
+    decontaminate,
+    lexical,
+    linedup,
+    neardup,
+    packing,
+    passages,
+    planes,
+    rules,
+    secrets,
+    store,
+    suffixes,
+    urls,
+    vectors,
+)
 
 
 def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +46,12 @@ QUERIES = {
         secrets.op8_markov_secrets,
         passages.op9_attention_quality,
         linedup.op10_fuzzy_line_dedup,
+        vectors.op11_vector_codes,
+        lexical.op13_treap_search,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_rules": urls.OP2_SQL}
+ORACLES: dict[str, str] = {
+    "op2_url_rules": urls.OP2_SQL,
+    "op11_vector_codes": vectors.OP11_SQL,
+    "op13_treap_search": lexical.OP13_SQL,
+}
