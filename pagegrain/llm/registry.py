@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagegrain.llm import (
     decontaminate,
     lexical,
+    licenses,
     linedup,
     neardup,
     packing,
@@ -47,11 +48,13 @@ QUERIES = {
         passages.op9_attention_quality,
         linedup.op10_fuzzy_line_dedup,
         vectors.op11_vector_codes,
+        licenses.op12_license_scan,
         lexical.op13_treap_search,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_url_rules": urls.OP2_SQL,
     "op11_vector_codes": vectors.OP11_SQL,
+    "op12_license_scan": licenses.OP12_SQL,
     "op13_treap_search": lexical.OP13_SQL,
 }
