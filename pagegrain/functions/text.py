@@ -153,11 +153,42 @@ def characters(c: Column | str) -> Column:
     return F.array_remove(F.split(_c(c), ""), "")
 
 
+#: Characters of a piece in which two texts are compared, and of the longer pieces from which those are cut: a
+#: position inside a string is found by walking to it.
+PIECE, LONG_PIECE = 128, 1 << 15
+
+
+def equal_positions(a: Column, b: Column) -> Column:
+    """At how many positions two texts have the same character; pieces are compared, never arrays of whole texts."""
+
+    def cut(x: Column, k: Column, size: int) -> Column:
+        return F.substr(x, k * size + 1, F.lit(size))
+
+    def numbers(n: Column, size: int) -> Column:
+        last = F.floor((n - 1) / size).cast("int")
+        return F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def count(x: Column, y: Column) -> Column:
+        same = F.size(F.filter(F.zip_with(F.split(x, ""), F.split(y, ""), lambda c, d: c == d), lambda e: e))
+        return F.when(x == y, F.length(x)).when((x == "") | (y == ""), 0).otherwise(same)
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda s, n: s + n)
+
+    def long_count(x: Column, y: Column) -> Column:
+        each = numbers(F.least(F.length(x), F.length(y)), PIECE)
+        pieces = F.transform(each, lambda k: F.struct(cut(x, k, PIECE).alias("x"), cut(y, k, PIECE).alias("y")))
+        return F.when(x == y, F.length(x)).otherwise(total(F.transform(pieces, lambda p: count(p["x"], p["y"]))))
+
+    each = numbers(F.least(F.length(a), F.length(b)), LONG_PIECE)
+    pieces = F.transform(each, lambda k: F.struct(cut(a, k, LONG_PIECE).alias("x"), cut(b, k, LONG_PIECE).alias("y")))
+    return total(F.transform(pieces, lambda p: long_count(p["x"], p["y"])))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Share of equal positions in two character arrays, over the longer length."""
-    equal = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda e: e))
-    longer = F.greatest(F.size(a), F.size(b))
-    return F.when(longer > 0, equal / longer).otherwise(F.lit(1.0))
+    """Share of equal positions in two texts, over the longer length; 1 for two empty texts."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, F.lit(1.0)).when(longer > 0, equal_positions(a, b) / longer).otherwise(F.lit(1.0))
 
 
 def local_id(uri: Column | str) -> Column:

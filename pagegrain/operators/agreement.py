@@ -2,37 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from pagegrain.functions import text as T
 
 MATCH_THRESHOLD = 0.95
 
 
-def _with_chars(df: DataFrame, first: str, second: str) -> DataFrame:
-    return df.withColumns(
-        {
-            "_a": T.characters(T.strip_whitespace(F.coalesce(F.col(first), F.lit("")))),
-            "_b": T.characters(T.strip_whitespace(F.coalesce(F.col(second), F.lit("")))),
-        }
-    )
-
-
 def compare_texts(df: DataFrame, first: str, second: str) -> DataFrame:
     """add ``match`` and ``similarity`` of two texts, whitespace removed.
 
     Similarity is the share of equal characters at equal positions over the
     longer length; equal texts (both empty too) match with 1.0.
     """
+    solid = {n: T.strip_whitespace(F.coalesce(F.col(c), F.lit(""))) for n, c in (("_a", first), ("_b", second))}
     a, b = F.col("_a"), F.col("_b")
     return (
-        _with_chars(df, first, second)
+        df.withColumns(solid)
         .withColumns({"match": a == b, "similarity": T.similarity(a, b)})
         .drop("_a", "_b")
     )
@@ -123,77 +112,144 @@ def confusion_hits(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
 
 # --- native text -----------------------------------------------------------------
 
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+CHUNK = 128
+#: A box text of a page: two hashes and its length.
+_TEXT = ["page_id", "_h", "_h2", "_n"]
 
 
-def window_matches(box: str, native: str, threshold: float = MATCH_THRESHOLD) -> bool:
-    """Does some window of ``native`` of about the box's length reach the similarity?
+def _seeding(threshold: float) -> tuple[int, int, int]:
+    """Length of a text that may not differ, of a seed, and every how many positions the native text has a seed.
 
-    A window that qualifies differs in few places, so cutting the compared part
-    into one piece more than the allowed differences leaves one piece intact:
-    exact search for the pieces finds every candidate, which is then counted.
+    With m = 1 / (1 - threshold), a text of n characters is cut into floor(n / m) + 1 pieces, none shorter than m / 2.
+    A piece of that length holds a whole seed that starts at a multiple of the stride.
     """
-    if not box or len(box) > len(native):
-        return False
-    box_codes, native_codes = _codes(box), _codes(native)
-    n = len(box)
-    for size in {max(1, n - 1), n, min(len(native), n + 1)}:
-        shared, longest = min(n, size), max(n, size)
-        allowed = shared - int(np.ceil(threshold * longest - 1e-9))
-        if allowed < 0:
-            continue
-        edges = np.linspace(0, shared, min(allowed + 1, shared) + 1).astype(int)
-        seen: set[int] = set()
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            piece = box[lo:hi]
-            at = native.find(piece)
-            while at >= 0:
-                start = at - lo
-                if 0 <= start <= len(native) - size and start not in seen:
-                    seen.add(start)
-                    same = int((native_codes[start : start + shared] == box_codes[:shared]).sum())
-                    if same / longest >= threshold:
-                        return True
-                at = native.find(piece, at + 1)
-    return False
-
-
-@F.pandas_udf(BooleanType())
-def _window_matches(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for box, native in parts:
-        yield pd.Series(
-            [window_matches(x or "", y or "") for x, y in zip(box, native, strict=True)], dtype=bool
+    sure = 10 if threshold >= 1 else max(1, min(10, int(1 / (1 - threshold) + 1e-6) // 2))
+    stride = max(1, sure // 3)
+    return sure, sure - stride + 1, stride
+
+
+def _cut(df: DataFrame, keys: Sequence[str], text: str, after: int) -> DataFrame:
+    """The chunks of a text: ``base``, its first position, and ``part``: its characters and ``after`` more."""
+
+    def level(rows: DataFrame, size: int, text: str, base: Column, n: Column) -> DataFrame:
+        numbers = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / size), F.lit(0)).cast("int"))
+        pieces = F.transform(
+            numbers,
+            lambda k: F.struct(
+                (base + k * size).alias("base"),
+                F.substr(F.col(text), k * size + 1, F.lit(size + after)).alias("part"),
+                F.least(F.lit(size), n - k * size).alias("count"),
+            ),
         )
+        return rows.select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*")
 
+    long = level(df, 1 << 15, text, F.lit(0), F.length(text))
+    return level(long, CHUNK, "part", F.col("base"), F.col("count")).drop("count")
+
+
+def _pieces_of(n: Column, threshold: float) -> Column:
+    """One more than the number of positions in which a text of ``n`` characters may differ."""
+    return (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int")
+
+
+def _seed(gram: Column) -> Column:
+    """One number for a page and the characters of a seed; unequal ones that share it fall to the count of characters."""
+    return F.xxhash64("page_id", gram).alias("seed")
 
-def matches_native(boxes: DataFrame, native: DataFrame, text: str = "text") -> DataFrame:
-    """F16: add ``matches_native``: does the page's native text contain the box text to 95 %?
 
-    ``native(page_id, native_text)``.  Literal containment is decided inside the
-    JVM; only the remaining boxes of admissible length go to the vectorised test.
+def _box_seeds(chunks: DataFrame, threshold: float) -> DataFrame:
+    """Seeds of box texts with ``offset``, their position in the text.
+
+    A text that differs in fewer places than it has pieces keeps one piece whole, and that piece holds one of the
+    seeds that the native text has at multiples of the stride: each piece gives the seeds at its first positions, as
+    many as the stride.
     """
-    page = native.select("page_id", T.strip_whitespace("native_text").alias("_native"))
-    pairs = boxes.withColumn("_box", T.strip_whitespace(F.coalesce(F.col(text), F.lit("")))).join(
-        page, "page_id", "left"
-    )
-    possible = (
-        (F.col("_box") != "")
-        & (F.coalesce(F.col("_native"), F.lit("")) != "")
-        & (F.length("_box") <= F.length("_native"))
-    )
-    literal = F.contains(F.col("_native"), F.col("_box"))
-    open_case = possible & ~literal
-    checked = _window_matches(
-        F.when(open_case, F.col("_box")).otherwise(F.lit("")),
-        F.when(open_case, F.col("_native")).otherwise(F.lit("")),
+    _, size, stride = _seeding(threshold)
+    n, base, pieces = F.col("_n"), F.col("base"), _pieces_of(F.col("_n"), threshold)
+    # piece i starts at floor(i * n / pieces)
+    first = F.ceil(base * pieces / n)
+    last = F.least(F.ceil((base + CHUNK) * pieces / n), pieces) - 1
+    numbers = F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    starts = F.transform(numbers, lambda i: F.floor(i * n / pieces).cast("int"))
+    rows = chunks.select(*_TEXT, "base", "part", F.explode(starts).alias("_s"))
+    rows = rows.select(*_TEXT, "base", "part", "_s", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("_o"))
+    offset = F.col("_s") + F.col("_o")
+    return rows.select(*_TEXT, offset.alias("offset"), _seed(F.substr("part", offset - base + 1, F.lit(size))))
+
+
+def _native_seeds(chunks: DataFrame, threshold: float) -> DataFrame:
+    """Seeds of native texts at the multiples ``at`` of the stride."""
+    _, size, stride = _seeding(threshold)
+    base = F.col("base")
+    first = (F.ceil(base / stride) * stride).cast("int")
+    last = F.least(base + CHUNK, F.col("_length") - size + 1) - 1
+    at = F.when(last >= first, F.sequence(first, last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    rows = chunks.select("page_id", "_length", "base", "part", F.explode(at).alias("at"))
+    return rows.select(F.col("page_id").alias("_page"), "_length", "at", _seed(F.substr("part", F.col("at") - base + 1, F.lit(size))))
+
+
+#: Short texts of a page that are searched in each of its chunks; the characters of other pages are joined with theirs.
+FEW = 64
+
+
+def _short_matches(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Texts that may not differ and are too short for seeds: those whose characters stand somewhere on their page.
+
+    A page with few such texts searches them chunk by chunk.  Of other pages the chunks give each combination of as
+    many characters as one of the texts has, so that the work doesn't grow with texts times chunks.
+    """
+    counts = texts.groupBy("page_id").agg(F.count(F.lit(1)).alias("_c"))
+    counted = texts.join(counts, "page_id")
+    few = counted.where(F.col("_c") <= FEW).groupBy("page_id").agg(F.collect_list("_box").alias("_list"))
+    seen = chunks.join(few, "page_id").select(
+        "page_id", F.explode(F.filter("_list", lambda x: F.contains(F.col("part"), x))).alias("_box")
     )
+    many = counted.where(F.col("_c") > FEW)
+    rows = chunks.join(many.select("page_id", "_n").distinct(), "page_id")
+    last = F.least(F.lit(CHUNK), F.col("_length") - F.col("base") - F.col("_n") + 1)
+    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    grams = F.array_distinct(F.transform(at, lambda k: F.substr("part", k, F.col("_n"))))
+    met = rows.select("page_id", F.explode(grams).alias("_box")).join(many.select("page_id", "_box"), ["page_id", "_box"])
+    return texts.join(seen.unionByName(met).distinct(), ["page_id", "_box"], "left_semi")
+
+
+def matches_native(
+    boxes: DataFrame, native: DataFrame, text: str = "text", threshold: float = MATCH_THRESHOLD
+) -> DataFrame:
+    """F16: add ``matches_native``: does the page's native text contain the box text to 95 %?
+
+    ``native(page_id, native_text)``, one row per page.  Whitespace is removed; a place in the native text counts
+    when enough of the box's characters stand there at their positions, the last of which may lie beyond the end.
+
+    Seeds of boxes and pages are joined on page and characters, so neither side carries the page's text; every
+    alignment that a seed proposes is then counted chunk by chunk.  The work of a page is spread over its seeds and
+    chunks.  Equal texts of a page are decided once.  Empty texts and pages without native text match nothing.
+    """
+    box = T.strip_whitespace(F.coalesce(F.col(text), F.lit("")))
+    marked = boxes.withColumns({"_h": F.xxhash64(box), "_h2": F.hash(box), "_n": F.length(box)})
+    texts = marked.where((F.col("_n") > 0) & F.col("page_id").isNotNull()).select(*_TEXT, box.alias("_box")).dropDuplicates(_TEXT)
+    pages = native.select("page_id", T.strip_whitespace("native_text").alias("_native")).where(F.length("_native") > 0)
+    sure, _, _ = _seeding(threshold)
+    short, long = texts.where(F.col("_n") < sure), texts.where(F.col("_n") >= sure)
+    chunks = _cut(long, _TEXT, "_box", sure)
+    native_chunks = _cut(pages.withColumn("_length", F.length("_native")), ["page_id", "_length"], "_native", CHUNK)
+    met = _box_seeds(chunks, threshold).join(_native_seeds(native_chunks, threshold), "seed")
+    start = F.col("at") - F.col("offset")
+    n, length = F.col("_n"), F.col("_length")
+    fits = (F.col("page_id") == F.col("_page")) & (n <= length) & (start >= 0) & (start <= length - F.greatest(n - 1, F.lit(1)))
+    places = met.where(fits).select(*_TEXT, start.alias("start")).distinct()
+    at = F.col("start") + F.col("base")
+    spread_out = places.join(chunks, _TEXT).select(
+        *_TEXT, "start", F.substr("part", F.lit(1), F.lit(CHUNK)).alias("_x"), F.pmod(at, F.lit(CHUNK)).alias("_off"),
+        (at - F.pmod(at, F.lit(CHUNK))).alias("base"),
+    )
+    both = spread_out.join(native_chunks.select("page_id", "base", "part"), ["page_id", "base"])
+    same = T.equal_positions(F.col("_x"), F.substr("part", F.col("_off") + 1, F.lit(CHUNK)))
+    near = both.groupBy(*_TEXT, "start").agg(F.sum(same).alias("_same")).where(F.col("_same") / n >= threshold).select(*_TEXT)
+    found = _short_matches(short, native_chunks).select(*_TEXT).unionByName(near).distinct().withColumn("_found", F.lit(True))
     return (
-        pairs.withColumn("_literal", F.coalesce(possible & literal, F.lit(False)))
-        .withColumn("_near", checked)
-        .withColumn("matches_native", F.col("_literal") | F.col("_near"))
-        .drop("_box", "_native", "_literal", "_near")
+        marked.join(found, _TEXT, "left")
+        .select(*boxes.columns, F.coalesce("_found", F.lit(False)).alias("matches_native"))
     )
 
 

@@ -225,6 +225,17 @@ def apply_review(boxes: DataFrame, engines: DataFrame, now: Column, native: Data
     ).drop("_failed", "_final", "auto_confirmed")
 
 
+def review_differences(boxes: DataFrame, engines: DataFrame) -> DataFrame:
+    """What a review stores of boxes that still are ``new``: a row per position in which the engines differ.
+
+    Boxes of which one engine has no text have no differences.
+    """
+    from pagegrain.operators.agreement import agreement_differences
+
+    fresh = boxes.where(F.col("review_status") == "new").select(*KEY)
+    return agreement_differences(engines.join(fresh, KEY, "left_semi"), KEY)
+
+
 def apply_model_review(
     boxes: DataFrame,
     answers: DataFrame,

@@ -160,19 +160,79 @@ def _(b):
     )
 
 
-@query("f16_matches_native")
+def native(b):
+    return b.table("documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("native_text"))
+
+
+def in_native(rows: str, text: str) -> str:
+    """CTEs up to ``matched(page_id, x)``: the squeezed texts of ``rows`` that the page's document contains to 95 %."""
+    leads = ", ".join(f"lead(c, {k}) OVER w" for k in range(1, 8))
+    return f"""nat AS (SELECT doc_id AS page_id, {S.squeeze('text')} AS t FROM documents),
+    bx AS MATERIALIZED (SELECT row_number() OVER () AS bid, page_id, x, length(x) AS n, length(x) - CAST(ceil(0.95::DOUBLE * length(x) - 1e-9) AS BIGINT) + 1 AS pieces
+      FROM (SELECT DISTINCT page_id, {S.squeeze(text)} AS x FROM ({rows})) WHERE x <> ''),
+    nc AS MATERIALIZED (SELECT page_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) - 1 AS p FROM nat WHERE t <> ''),
+    bc AS MATERIALIZED (SELECT bid, page_id, n, pieces, unnest(string_split(x, '')) AS c, generate_subscripts(string_split(x, ''), 1) - 1 AS i FROM bx WHERE n >= 10),
+    ng AS (SELECT page_id, p, concat(c, {leads}) AS g FROM nc WINDOW w AS (PARTITION BY page_id ORDER BY p)),
+    bg AS (SELECT * FROM (SELECT *, concat(c, {leads}) AS g, CAST(ceil(i * pieces / n) AS BIGINT) AS k FROM bc WINDOW w AS (PARTITION BY bid ORDER BY i))
+      WHERE k < pieces AND k * n // pieces = i),
+    cand AS (SELECT DISTINCT bid, n, p - i AS s FROM bg JOIN ng USING (page_id, g) JOIN nat USING (page_id)
+      WHERE p >= i AND n <= length(t) AND p - i <= length(t) - n + 1),
+    matched AS (SELECT DISTINCT page_id, x FROM bx WHERE bid IN (SELECT cand.bid FROM cand JOIN bc ON bc.bid = cand.bid
+        JOIN nc ON nc.page_id = bc.page_id AND nc.p = s + i AND nc.c = bc.c GROUP BY cand.bid, s, cand.n HAVING count(*) / cand.n >= 0.95)
+      UNION ALL SELECT page_id, x FROM bx JOIN nat USING (page_id) WHERE n < 10 AND contains(t, x))"""
+
+
+@query(
+    "f16_matches_native",
+    f"""WITH e AS ({ENGINES}), {in_native('SELECT page_id, vision_text FROM e', 'vision_text')}
+    SELECT {_BOX}, (page_id, {S.squeeze('vision_text')}) IN (SELECT (page_id, x) FROM matched) AS matches_native FROM e""",
+)
 def _(b):
-    native = b.table("documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("native_text"))
     rows = engines(b).select("page_id", "box_index", F.col("vision_text").alias("text"))
-    return A.matches_native(rows, native).select("page_id", "box_index", "matches_native")
+    return A.matches_native(rows, native(b)).select("page_id", "box_index", "matches_native")
 
 
-@query(
-    "m19_apply_review",
-    f"""SELECT {_BOX}, CASE WHEN hit AND failed THEN '' WHEN hit THEN final ELSE classic_text END AS text,
+AGREED_NATIVE = f"""
+SELECT * EXCLUDE (auto_confirmed), auto_confirmed OR (page_id, {S.squeeze('final_text')}) IN (SELECT (page_id, x) FROM matched) AS auto_confirmed FROM agreed
+"""
+_NATIVE = f"agreed AS ({AGREED}), {in_native('SELECT page_id, final_text FROM agreed', 'final_text')}"
+
+
+@query("f24_engine_agreement_native", f"WITH {_NATIVE} SELECT {_BOX}, final_text, auto_confirmed FROM ({AGREED_NATIVE})")
+def _(b):
+    return A.engine_agreement(engines(b), native(b)).select("page_id", "box_index", "final_text", "auto_confirmed")
+
+
+def reviewed(agreed: str) -> str:
+    return f"""SELECT {_BOX}, CASE WHEN hit AND failed THEN '' WHEN hit THEN final ELSE classic_text END AS text,
       CASE WHEN hit AND NOT failed AND auto_confirmed THEN 'auto_confirmed' WHEN hit THEN 'pending' ELSE review_status END AS review_status
     FROM (SELECT *, coalesce(review_status = 'new', false) AS hit, vision_error IS NOT NULL AS failed,
-      CASE WHEN {S.strip('vision_text')} <> '' THEN {S.strip('vision_text')} ELSE {S.strip('classic_text')} END AS final FROM ({AGREED}))""",
+      CASE WHEN {S.strip('vision_text')} <> '' THEN {S.strip('vision_text')} ELSE {S.strip('classic_text')} END AS final FROM ({agreed}))"""
+
+
+@query("m19_apply_review_native", f"WITH {_NATIVE} {reviewed(AGREED_NATIVE)}")
+def _(b):
+    return R.apply_review(b.a_box, engines(b), _now(), native(b)).select("page_id", "box_index", "text", "review_status")
+
+
+@query(
+    "m19_review_differences",
+    f"""WITH t AS (SELECT page_id, box_index, {S.squeeze('classic_text')} AS x, {S.squeeze('vision_text')} AS y FROM ({ENGINES})
+      WHERE review_status = 'new' AND classic_text <> '' AND vision_text <> ''),
+    ca AS (SELECT {_BOX}, unnest(string_split(x, '')) AS c, generate_subscripts(string_split(x, ''), 1) AS i FROM t WHERE x <> ''),
+    cb AS (SELECT {_BOX}, unnest(string_split(y, '')) AS c, generate_subscripts(string_split(y, ''), 1) AS i FROM t WHERE y <> ''),
+    wa AS (SELECT *, string_agg(c, '') OVER (PARTITION BY {_BOX} ORDER BY i ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS ctx FROM ca),
+    wb AS (SELECT *, string_agg(c, '') OVER (PARTITION BY {_BOX} ORDER BY i ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS ctx FROM cb)
+    SELECT {_BOX}, CAST(i - 1 AS INTEGER) AS position, coalesce(wa.c, '') AS char1, coalesce(wb.c, '') AS char2, coalesce(wa.ctx, wb.ctx) AS context
+      FROM wa FULL JOIN wb USING (page_id, box_index, i) WHERE wa.c IS DISTINCT FROM wb.c""",
+)
+def _(b):
+    return R.review_differences(b.a_box, engines(b))
+
+
+@query(
+    "m19_apply_review",
+    reviewed(AGREED),
 )
 def _(b):
     return R.apply_review(b.a_box, engines(b), _now()).select("page_id", "box_index", "text", "review_status")

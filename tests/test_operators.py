@@ -320,13 +320,65 @@ def test_window_match_against_brute_force(spark):
         cases.append(("".join(piece), native))
     cases += [("a" * 19 + "b", "a" * 20), ("a" * 20, "a" * 19 + "b" + "a"), ("abc", "ab"), ("", "abc"), ("x", "")]
     want = [_window_match(b, n) for b, n in cases]
-    assert [A.window_matches(b, n) for b, n in cases] == want
     boxes = spark.createDataFrame([(i, 0, c[0]) for i, c in enumerate(cases)], "page_id long, box_index long, text string")
     native = spark.createDataFrame([(i, c[1]) for i, c in enumerate(cases)], "page_id long, native_text string")
     got = dict(rows(A.matches_native(boxes, native), "page_id", "matches_native"))
     assert [got[i] for i in range(len(cases))] == want
 
 
+@pytest.mark.parametrize("few", [0, 64])
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.95, 1.0])
+def test_native_match_of_long_and_short_texts(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(A, "FEW", few)
+    rnd = random.Random(int(100 * threshold) + few)
+    pages = {p: "".join(rnd.choice("abcdefgh é") for _ in range(n)) for p, n in ((1, 700), (2, 129), (3, 9), (4, 0), (5, 5_000))}
+    pages[6] = "ab" * 300  # the same seeds everywhere
+    boxes = [(None, "abc"), (9, "abc"), (4, "abc"), (1, None), (1, " \n"), (6, "ab" * 60 + "b" * 3), (6, "ba" * 11)]
+    for p, text in pages.items():
+        for _ in range(25 if len(text) > 9 else 4):
+            at, n = rnd.randint(0, max(0, len(text) - 1)), rnd.choice([1, 2, 5, 9, 10, 19, 20, 39, 150, 400])
+            piece = list(text[at : at + n]) + ["x"] * rnd.choice([0, 0, 1])
+            for _ in range(rnd.choice([0, 0, 1, len(piece) // 20, len(piece) // 20 + 1])):
+                if piece:
+                    piece[rnd.randrange(len(piece))] = "z"
+            boxes.append((p, "".join(piece)))
+    rows_ = [(p, i, t, "n") for i, (p, t) in enumerate(boxes)]
+    got = A.matches_native(
+        spark.createDataFrame(rows_, "page_id long, box_index long, text string, native_text string"),
+        spark.createDataFrame(list(pages.items()), "page_id long, native_text string"),
+        threshold=threshold,
+    )
+    assert got.columns == ["page_id", "box_index", "text", "native_text", "matches_native"]
+
+    def squeezed(t):
+        return "".join((t or "").split())
+
+    want = {i: _window_match(squeezed(t), squeezed(pages.get(p)), threshold) for p, i, t, _ in rows_}
+    assert {r["box_index"]: r["matches_native"] for r in got.collect()} == want
+
+
+def test_similarity_of_long_texts(spark):
+    rnd = random.Random(2)
+    a = "".join(rnd.choice("ab é\n") for _ in range(150_000))
+    b = "".join(c if rnd.random() > 0.01 else "z" for c in a)[:140_000]
+    df = spark.createDataFrame([(1, a, b), (2, "", ""), (3, None, "x"), (4, "a b", "ab"), (5, b, a)], "k int, x string, y string")
+    got = {r["k"]: (r["match"], r["similarity"]) for r in A.compare_texts(df, "x", "y").collect()}
+
+    def want(x, y):
+        x, y = "".join(x.split()), "".join(y.split())
+        return x == y, sum(c == d for c, d in zip(x, y, strict=False)) / max(len(x), len(y))
+
+    assert got == {1: want(a, b), 2: (True, 1.0), 3: (False, 0.0), 4: (True, 1.0), 5: want(b, a)}
+
+
+def test_differences_of_new_boxes(spark):
+    boxes = spark.createDataFrame([(1, 0, "new"), (1, 1, "pending"), (1, 2, "new"), (2, 0, None)], "page_id long, box_index long, review_status string")
+    texts = [(1, 0, "ab c", "axc!"), (1, 1, "a", "b"), (1, 2, "", "b"), (2, 0, "a", "b"), (3, 0, "a", "b")]
+    engines = spark.createDataFrame(texts, "page_id long, box_index long, classic_text string, vision_text string")
+    got = rows(R.review_differences(boxes, engines))
+    assert sorted(got) == [(1, 0, 1, "b", "x", "abc"), (1, 0, 3, "", "!", "axc!")]
+
+
 def test_slug_and_snippet(spark):
     df = spark.createDataFrame([("  Dr. Müller -- Lüd  ",), ("ÄÖ",), ("a_b c",)], "n string")
     assert rows(df.select(T.slug("n"))) == [("dr-mller-ld",), ("",), ("ab-c",)]
