@@ -143,8 +143,11 @@ def _cut(df: DataFrame, keys: Sequence[str], text: str, after: int) -> DataFrame
         )
         return rows.select(*keys, F.explode(pieces).alias("_p")).select(*keys, "_p.*")
 
-    long = level(df, 1 << 15, text, F.lit(0), F.length(text))
-    return level(long, CHUNK, "part", F.col("base"), F.col("count")).drop("count")
+    # a place in a string is found by walking to it, so long strings are cut in steps
+    rows = level(df, 1 << 15, text, F.lit(0), F.length(text))
+    for size in (1 << 11, CHUNK):
+        rows = level(rows, size, "part", F.col("base"), F.col("count"))
+    return rows.drop("count")
 
 
 def _pieces_of(n: Column, threshold: float) -> Column:
@@ -233,6 +236,8 @@ def matches_native(
     short, long = texts.where(F.col("_n") < sure), texts.where(F.col("_n") >= sure)
     chunks = _cut(long, _TEXT, "_box", sure)
     native_chunks = _cut(pages.withColumn("_length", F.length("_native")), ["page_id", "_length"], "_native", CHUNK)
+    # dealt once for the seeds and for the count of characters
+    native_chunks = native_chunks.repartition("page_id", "base")
     met = _box_seeds(chunks, threshold).join(_native_seeds(native_chunks, threshold), "seed")
     start = F.col("at") - F.col("offset")
     n, length = F.col("_n"), F.col("_length")
