@@ -1,8 +1,10 @@
 """Operators on dark pixels: coverage by boxes, ink per box and per region.
 
-``dark`` has one row per dark pixel of a page image: ``page_id, x, y``.  Pixels
-and boxes meet on small image tiles, so one page with very many pixels is
-spread over many join keys and a key never holds more than one tile of pixels.
+``dark`` has one row per dark pixel of a page image: ``page_id, x, y``.  Pixels are gathered into words of 64 (one
+number per run of columns in an image row) and the words into small image tiles; a tile is one row of at most 128
+words.  Boxes meet tiles, not pixels: what a box holds of a tile are set bits under its mask, and what all boxes
+cover of it is the union of their masks.  So rows after a join grow with boxes and tiles, never with boxes times
+pixels, and one page with very many pixels is spread over many tiles.
 """
 
 from __future__ import annotations
@@ -18,10 +20,46 @@ from pagegrain.operators.boxes import char_count
 TILE_W = 256
 TILE_H = 32
 REGION_BAND = 256
+#: Columns of a word.
+WORD = 64
+_TILE = ["page_id", "_tx", "_ty"]
 
 
-def _pixel_tiles(dark: DataFrame) -> DataFrame:
-    return dark.withColumns({"_tx": G.band(F.col("x"), TILE_W), "_ty": G.band(F.col("y"), TILE_H)})
+def _words(dark: DataFrame) -> DataFrame:
+    """Dark pixels as words: ``_w`` numbers the runs of 64 columns, ``bits`` has a bit per dark pixel of a run."""
+    x = F.col("x").cast("long")
+    return (
+        dark.select(
+            "page_id",
+            G.band(F.col("x"), TILE_W).alias("_tx"),
+            G.band(F.col("y"), TILE_H).alias("_ty"),
+            F.col("y").cast("long").alias("_y"),
+            F.floor(x / WORD).alias("_w"),
+            F.expr(f"shiftleft(1L, int(pmod(cast(x AS BIGINT), {WORD})))").alias("_bit"),
+        )
+        .groupBy(*_TILE, "_y", "_w")
+        .agg(F.bit_or("_bit").alias("bits"))
+    )
+
+
+def _tiles(dark: DataFrame) -> DataFrame:
+    """One row per tile with a dark pixel: its words, 128 at most."""
+    return _words(dark).groupBy(*_TILE).agg(F.collect_list(F.struct("_y", "_w", "bits")).alias("words"))
+
+
+#: Bits of word ``p`` that lie inside the rectangle l,t,r,b.
+_MASKED = f"""if(p._y < t or p._y >= b or r <= p._w * {WORD} or l >= (p._w + 1) * {WORD} or l >= r, 0L,
+  p.bits & shiftleft(shiftrightunsigned(-1L, int({WORD} - (least(r - p._w * {WORD}, {WORD}) - greatest(l - p._w * {WORD}, 0L)))),
+    int(greatest(l - p._w * {WORD}, 0L))))"""
+
+
+def _covered(rects: DataFrame, dark: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Words (keys, tile, ``_y``, ``_w``) with the dark pixels that some rectangle of the keys covers."""
+    cut = _distinct_per_tile(_explode_tiles(rects), keys)
+    met = cut.join(_tiles(dark), _TILE).select(
+        *keys, "_tx", "_ty", F.explode(F.expr(f"filter(transform(words, p -> struct(p._y AS _y, p._w AS _w, {_MASKED} AS bits)), q -> q.bits <> 0)")).alias("_p")
+    )
+    return met.groupBy(*keys, "_tx", "_ty", F.col("_p._y").alias("_y"), F.col("_p._w").alias("_w")).agg(F.bit_or("_p.bits").alias("covered"))
 
 
 def _explode_tiles(rects: DataFrame) -> DataFrame:
@@ -64,28 +102,18 @@ def _distinct_per_tile(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).distinct()
 
 
-def _inside() -> Column:
-    return (
-        (F.col("x") >= F.col("l"))
-        & (F.col("x") < F.col("r"))
-        & (F.col("y") >= F.col("t"))
-        & (F.col("y") < F.col("b"))
-    )
-
-
-def _on(keys: Sequence[str]) -> Column:
-    cond = _inside()
-    for k in [*keys, "_tx", "_ty"]:
-        cond = (F.col(f"p.{k}") == F.col(f"q.{k}")) & cond
-    return cond
-
-
 def uncovered_pixels(dark: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
     """Dark pixels that no box of their page covers (half-open boxes, clipped to the image)."""
-    keys = ["page_id"]
-    rects = _distinct_per_tile(_explode_tiles(_page_rects(boxes, width, height, keys)), keys)
-    return (
-        _pixel_tiles(dark).alias("p").join(rects.alias("q"), _on(keys), "left_anti").drop("_tx", "_ty")
+    covered = _covered(_page_rects(boxes, width, height, ["page_id"]), dark, ["page_id"])
+    left = _words(dark).join(covered, [*_TILE, "_y", "_w"], "left")
+    loose = left.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("covered", F.lit(0).cast("long")))))
+    places = F.expr(f"filter(sequence(0, {WORD - 1}), k -> (bits & shiftleft(1L, k)) <> 0)")
+    rows = loose.where(F.col("bits") != 0).select("page_id", "_w", "_y", F.explode(places).alias("_k"))
+    kinds = {f.name: f.dataType for f in dark.schema}
+    return rows.select(
+        "page_id",
+        (F.col("_w") * WORD + F.col("_k")).cast(kinds["x"]).alias("x"),
+        F.col("_y").cast(kinds["y"]).alias("y"),
     )
 
 
@@ -106,14 +134,18 @@ def page_coverage(
     Pages without a dark pixel are fully covered; they appear when ``pages``
     (a frame with ``page_id``) lists them.
     """
-    total = dark.groupBy("page_id").agg(F.count(F.lit(1)).alias("_t"))
-    loose = uncovered_pixels(dark, boxes, width, height).groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("_u")
-    )
+    total = _tiles(dark).groupBy("page_id").agg(F.sum(_dark_of("words")).alias("_t"))
+    met = _covered(_page_rects(boxes, width, height, ["page_id"]), dark, ["page_id"])
+    met = met.groupBy("page_id").agg(F.sum(F.bit_count("covered").cast("long")).alias("_c"))
     if pages is not None:
         total = pages.select("page_id").distinct().join(total, "page_id", "left")
-    t, u = F.coalesce(F.col("_t"), F.lit(0)), F.coalesce(F.col("_u"), F.lit(0))
-    return total.join(loose, "page_id", "left").select("page_id", *_ratios(t, u))
+    t, c = F.coalesce(F.col("_t"), F.lit(0)), F.coalesce(F.col("_c"), F.lit(0))
+    return total.join(met, "page_id", "left").select("page_id", *_ratios(t, t - c))
+
+
+def _dark_of(words: str, bits: str = "p.bits") -> Column:
+    """Number of dark pixels in an array of words."""
+    return F.expr(f"aggregate({words}, 0L, (n, p) -> n + bit_count({bits}))")
 
 
 def box_black_pixels(
@@ -150,21 +182,16 @@ def page_black_px(box_ink: DataFrame) -> DataFrame:
 def _count_pixels(rects: DataFrame, dark: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Dark pixels per rectangle (key, char_count, l..b), rectangles without any included.
 
-    Hits and a zero row per rectangle go through one aggregate with map-side
-    combine, so no join back to the rectangles is needed.
+    One row per rectangle and tile and a zero row per rectangle go through one aggregate with map-side combine, so no
+    join back to the rectangles is needed.
     """
-    hits = (
-        _explode_tiles(rects)
-        .alias("q")
-        .join(_pixel_tiles(dark).alias("p"), _on(["page_id"]))
-        .select(*[F.col(f"q.{k}").alias(k) for k in keys], "char_count", F.lit(1).cast("long").alias("_one"))
-    )
-    zeros = rects.select(*keys, "char_count", F.lit(0).cast("long").alias("_one"))
+    hits = _explode_tiles(rects).join(_tiles(dark), _TILE).select(*keys, "char_count", _dark_of("words", _MASKED).alias("_n"))
+    zeros = rects.select(*keys, "char_count", F.lit(0).cast("long").alias("_n"))
     black = F.col("black_pixels")
     return (
         zeros.unionByName(hits)
         .groupBy(*keys, "char_count")
-        .agg(F.sum("_one").alias("black_pixels"))
+        .agg(F.sum("_n").alias("black_pixels"))
         .select(
             *keys,
             "black_pixels",
@@ -260,26 +287,18 @@ def region_coverage(boxes: DataFrame, dark: DataFrame, width: int, height: int)
     """
     keys = ["page_id", "region_index"]
     area = _clipped_regions(boxes, width, height)
-    within = (
-        _explode_tiles(area)
-        .alias("q")
-        .join(_pixel_tiles(dark).alias("p"), _on(["page_id"]))
-        .select(F.col("p.page_id").alias("page_id"), "region_index", F.col("p._tx").alias("_tx"), F.col("p._ty").alias("_ty"), "x", "y")
-    )
-    rects = _distinct_per_tile(_explode_tiles(_child_rects(boxes, width, height)), keys)
-    total = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tot"))
-    loose = (
-        within.alias("p")
-        .join(rects.alias("q"), _on(keys), "left_anti")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_u"))
+    total = (
+        _explode_tiles(area).join(_tiles(dark), _TILE).groupBy(*keys).agg(F.sum(_dark_of("words", _MASKED)).alias("_tot"))
     )
-    t, u = F.coalesce(F.col("_tot"), F.lit(0)), F.coalesce(F.col("_u"), F.lit(0))
+    met = _covered(_child_rects(boxes, width, height), dark, keys)
+    met = met.groupBy(*keys).agg(F.sum(F.bit_count("covered").cast("long")).alias("_c"))
+    t, c = F.coalesce(F.col("_tot"), F.lit(0)), F.coalesce(F.col("_c"), F.lit(0))
     empty = (F.col("l") >= F.col("r")) | (F.col("t") >= F.col("b"))
-    total_dark, loose_dark, coverage, uncovered = _ratios(t, u)
+    # children are cut to their region, so all that they cover lies in it
+    total_dark, loose_dark, coverage, uncovered = _ratios(t, t - c)
     return (
         area.join(total, keys, "left")
-        .join(loose, keys, "left")
+        .join(met, keys, "left")
         .select(
             *keys,
             total_dark,
