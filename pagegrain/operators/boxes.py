@@ -314,9 +314,7 @@ def native_page_text(results: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def with_box_index(rows: DataFrame, key: str = "result_id", order: str = "id") -> DataFrame:
     """0-based number of a box within its result, by id."""
-    return spread.row_numbers(
-        rows, [key], [F.col(order)], spread.int_bucket(order), "box_index", start=0
-    )
+    return spread.row_numbers(rows, [key], [F.col(order)], "box_index", start=0)
 
 
 def _reading_keys(tolerance: int) -> tuple[Column, Column, list[str]]:
@@ -346,7 +344,7 @@ def with_reading_order(boxes: DataFrame, tolerance: int = G.LINE_TOLERANCE, name
 
     Boxes without four corners come last, in stored order.
     """
-    keyed, bucket, order = _with_reading_keys(boxes, tolerance)
+    keyed, _, _ = _with_reading_keys(boxes, tolerance)
     cols = [
         F.col("_late"),
         F.col("_line"),
@@ -354,7 +352,7 @@ def with_reading_order(boxes: DataFrame, tolerance: int = G.LINE_TOLERANCE, name
         F.when(~F.col("_late"), F.col("y1")),
         F.col("box_index"),
     ]
-    return spread.row_numbers(keyed, ["page_id"], cols, bucket, name).drop("_late", "_line")
+    return spread.row_numbers(keyed, ["page_id"], cols, name).drop("_late", "_line")
 
 
 def neighbour_context(boxes: DataFrame, tolerance: int = G.LINE_TOLERANCE, short: int = 100) -> DataFrame:

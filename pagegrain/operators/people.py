@@ -39,7 +39,7 @@ def entity_catalogue(mentions: DataFrame, details: DataFrame) -> DataFrame:
     seen = m.groupBy("entity_uri", "page_id").agg(
         F.min("id").alias("_first"), F.min_by("name", "id").alias("_box_name")
     )
-    pos = spread.row_numbers(seen, ["entity_uri"], [F.col("_first")], spread.int_bucket("_first", 1 << 16), "pos")
+    pos = spread.row_numbers(seen, ["entity_uri"], [F.col("_first")], "pos")
     first_name = seen.groupBy("entity_uri").agg(F.min_by("_box_name", "_first").alias("_name"))
     d = details.select("entity_uri", F.col("name").alias("_stored"), "main_image_url")
     return (

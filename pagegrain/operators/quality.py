@@ -142,8 +142,7 @@ def page_quality(
         .join(ink.page_black_px(box_ink), "page_id", "left")
         .join(ink.page_coverage(dark, boxes, width, height), "page_id", "left")
     )
-    rows = filter_by_coverage(rows, **bounds)
-    return rows.orderBy(F.desc("page_id"), F.desc("result_id"))
+    return filter_by_coverage(rows, **bounds)
 
 
 def review_pages(results: DataFrame, pages: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def delete_boxes(boxes: DataFrame, chosen: DataFrame) -> DataFrame:
     pages = touched_pages(chosen)
     kept = boxes.join(chosen.select(*KEY), KEY, "left_anti").join(pages, "page_id", "left_semi")
     renumbered = spread.row_numbers(
-        kept.withColumnRenamed("box_index", "_old"), ["page_id"], [F.col("_old")], spread.int_bucket("_old"), "box_index", start=0
+        kept.withColumnRenamed("box_index", "_old"), ["page_id"], [F.col("_old")], "box_index", start=0
     )
     return boxes.join(pages, "page_id", "left_anti").unionByName(renumbered.select(*boxes.columns))
 
@@ -181,7 +181,7 @@ def add_boxes(boxes: DataFrame, fresh: DataFrame) -> DataFrame:
     last = boxes.groupBy("page_id").agg(F.max("box_index").alias("_last"))
     kind = F.coalesce(F.nullif(F.col("box_type"), F.lit("")), F.lit("ocr"))
     ignored, note = kind == "ignore_region", kind == "note"
-    placed = spread.row_numbers(fresh, ["page_id"], [F.col("seq")], spread.int_bucket("seq"), "_k")
+    placed = spread.row_numbers(fresh, ["page_id"], [F.col("seq")], "_k")
     rows = placed.join(last, "page_id", "left").select(
         "page_id",
         (F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_k")).alias("box_index"),

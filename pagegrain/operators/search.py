@@ -73,9 +73,7 @@ def search_people(units: DataFrame, persons: DataFrame, term: str, epoch_name: s
     first = p.groupBy("slug").agg(
         F.min(F.struct("unit_id", "pos", "name", "role", "epoch")).alias("_f")
     ).select("slug", "_f.*")
-    numbered = spread.row_numbers(
-        first, [], [F.col("unit_id"), F.col("pos"), F.col("slug")], spread.int_bucket("unit_id", 64), "id"
-    )
+    numbered = spread.row_numbers(first, [], [F.col("unit_id"), F.col("pos"), F.col("slug")], "id")
     return numbered.select(
         F.lit("person").alias("type"), "id", "slug", F.col("name").alias("display_name"), "epoch", F.col("role").alias("snippet")
     )
@@ -94,9 +92,7 @@ def person_directory(units: DataFrame, persons: DataFrame, epoch_name: str | Non
         F.min(F.struct("unit_id", "pos", "role")).alias("_f"),
         F.min_by("epoch", F.when(F.col("epoch").isNotNull(), F.struct("unit_id", "pos"))).alias("epoch"),
     ).select("name", "epoch", "_f.*")
-    return spread.row_numbers(
-        people, [], [F.col("unit_id"), F.col("pos"), F.col("name")], spread.int_bucket("unit_id", 64), "id"
-    ).select("id", T.slug("name").alias("slug"), F.col("name").alias("display_name"), "epoch", F.col("role").alias("notes"))
+    return spread.row_numbers(people, [], [F.col("unit_id"), F.col("pos"), F.col("name")], "id").select("id", T.slug("name").alias("slug"), F.col("name").alias("display_name"), "epoch", F.col("role").alias("notes"))
 
 
 def person_detail(

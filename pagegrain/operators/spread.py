@@ -3,8 +3,12 @@
 A plain window partitioned by page or document sorts the whole group in one
 task.  The helpers here cut a group into buckets that follow its sort order,
 do the ordered work per bucket, and carry only one summary row per bucket
-across bucket borders.  ``bucket`` must be non-decreasing along ``order``;
-keys and bucket must not be null, but for ``row_numbers``, where nulls order first.
+across bucket borders.
+
+Row numbers and medians take their buckets from the data: a sample of the
+places that occur gives the borders, so gaps, crowded values and groups of any
+size are cut evenly.  Other helpers take a bucket of a dense position, which
+must be non-decreasing along the order and not null, as must their keys.
 """
 
 from __future__ import annotations
@@ -32,33 +36,78 @@ def _preceding(keys: Sequence[str]):
     ).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
 
 
+#: Ranges into which the places of a table are cut, and how many of them share a fence of the search.
+RANGES, FENCE = 1024, 32
+
+
+def with_ranges(df: DataFrame, cols: Sequence[Column], ranges: int = RANGES) -> DataFrame:
+    """Cut the places of a table (ascending columns, nulls first) into ranges.
+
+    Adds ``_bucket``, the number of the range, and ``_lower`` and ``_upper``, the borders (as structs ``_0``, ``_1``
+    ...) from which and below which it lies, null at the ends.  Borders are places of the table itself: of each class
+    of hash values the place with the least hash.  That is a sample of the distinct places, the same in every
+    evaluation, of ``ranges`` places at most.  Equal places are never separated.
+    """
+    place = F.struct(*[c.alias(f"_{n}") for n, c in enumerate(cols)])
+    sample = (
+        df.select(place.alias("_p"), F.xxhash64(*cols).alias("_h"))
+        .groupBy(F.pmod("_h", F.lit(ranges)))
+        .agg(F.min(F.struct("_h", "_p")).alias("_s"))
+        .agg(F.sort_array(F.collect_list("_s._p")).alias("_l"))
+    )
+    last = F.floor((F.size("_l") - 1) / FENCE).cast("int")
+    numbers = F.when(F.size("_l") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    fenced = sample.select(F.transform(numbers, lambda k: F.slice("_l", k * FENCE + 1, F.lit(FENCE))))
+
+    def at(n: str) -> Column:
+        return F.get(F.get("_borders", F.floor(F.col(n) / FENCE).cast("int")), F.pmod(F.col(n), F.lit(FENCE)))
+
+    rows = df.withColumns({"_borders": fenced.scalar(), "_p": place})
+    rows = rows.withColumn("_fences", F.size(F.filter("_borders", lambda g: g[0] <= F.col("_p"))))
+    inside = F.size(F.filter(F.get("_borders", F.col("_fences") - 1), lambda b: b <= F.col("_p")))
+    found = F.when(F.col("_fences") > 0, (F.col("_fences") - 1) * FENCE + inside).otherwise(0)
+    # filters on the range stop at the generator; below it they would repeat the search
+    rows = rows.select(*df.columns, "_borders", F.explode_outer(F.array(found)).alias("_n"))
+    return rows.withColumns({"_m": F.col("_n") - 1}).select(
+        *df.columns, F.col("_n").cast("long").alias(_B), F.when(F.col("_n") > 0, at("_m")).alias("_lower"), at("_n").alias("_upper")
+    )
+
+
 def row_numbers(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
     name: str = "pos",
     start: int = 1,
+    ranges: int = RANGES,
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by order)``, bucket by bucket.
+    """``row_number() over (partition by keys order by order)``, range by range; ascending, nulls first.
 
-    With no keys it numbers the whole table; the only single-task step then
-    sees one row per bucket.
+    With no keys it numbers the whole table.  A group goes on in the next range only if a border lies in it, so there
+    are no more such groups than borders: their counts, and nothing else, cross ranges.
     """
-    # nulls order first, and so does their bucket
-    df = df.withColumn(_B, F.coalesce(bucket, F.lit(-(1 << 63)).cast("long")))
+    columns = df.columns
+    df = with_ranges(df, [*[F.col(k) for k in keys], *order], ranges)
+
+    def in_group(border: str) -> Column:
+        same = (F.col(border)[f"_{n}"].eqNullSafe(F.col(k)) for n, k in enumerate(keys))
+        return reduce(and_, same, F.col(border).isNotNull())
+
     offsets = (
-        df.groupBy(*keys, _B)
+        df.where(in_group("_lower") | in_group("_upper"))
+        .groupBy(*keys, _B)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(_preceding(keys)), F.lit(0)))
-        .drop("_n")
+        .select("_n", *(F.col(k).alias(f"_o{n}") for n, k in enumerate([*keys, _B])))
     )
-    inner = Window.partitionBy(*keys, _B).orderBy(*order)
-    other = offsets.select("_offset", *(F.col(k).alias(f"_o{n}") for n, k in enumerate([*keys, _B])))
+    group = [f"_o{n}" for n in range(len(keys))]
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy(f"_o{len(keys)}")
+    offsets = offsets.withColumn("_offset", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_o{n}")) for n, k in enumerate([*keys, _B])))
+    inner = Window.partitionBy(*keys, _B).orderBy(*order)
+    # at most two rows per border
     return (
-        df.join(other, same)
-        .select(*df.columns, "_offset")
+        df.join(F.broadcast(offsets), same, "left")
+        .select(*columns, _B, F.coalesce("_offset", F.lit(0)).alias("_offset"))
         .withColumn(name, (F.row_number().over(inner) + F.col("_offset") + (start - 1)).cast("long"))
         .drop(_B, "_offset")
     )
@@ -121,21 +170,12 @@ def exact_median(
 ) -> DataFrame:
     """Exact median of ``value`` per group (nulls ignored), one row per group.
 
-    Equal values are counted before the shuffle; a coarse histogram per group
-    finds the bucket of the middle ranks, and only that bucket is sorted.
+    Equal values are counted before the shuffle.  Sampled values cut the groups into ranges, counts find the range of
+    the middle ranks, and only that range is sorted.
     """
     keys = list(keys)
-    v = F.col(value)
-    counted = (
-        df.select(
-            *keys,
-            v.alias("_v"),
-            (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 64)).cast("long").alias(_B),
-        )
-        .dropna()
-        .groupBy(*keys, _B, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    some = df.select(*keys, F.col(value).alias("_v")).dropna()
+    counted = with_ranges(some, [F.col(c) for c in [*keys, "_v"]]).groupBy(*keys, _B, "_v").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
     middle = (

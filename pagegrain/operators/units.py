@@ -38,7 +38,7 @@ def pair_pages(pages: DataFrame, key: str = "document_id", pos: str = "page_numb
     taken, the third starts, and so on: a page starts a unit exactly when the
     run of yes-pages just before it has even length.
     """
-    ranked = spread.row_numbers(pages, [key], [F.col(pos)], spread.int_bucket(pos), "_p")
+    ranked = spread.row_numbers(pages, [key], [F.col(pos)], "_p")
     no = F.when(~F.coalesce("belongs_with_next", F.lit(False)), F.col("_p"))
     marked = spread.running(ranked, [key], "_p", no, "_no", "max")
     starts = (F.col("_p") - 1 - F.coalesce("_no", F.lit(0))) % 2 == 0
@@ -57,7 +57,7 @@ def accept_suggestions(
 ) -> tuple[DataFrame, DataFrame]:
     """The suggestions of a document become units, in id order, and vanish."""
     mine = suggestions.where(F.col("document_id") == document_id)
-    made = spread.row_numbers(mine, [], [F.col("id")], spread.int_bucket("id"), "_k").select(
+    made = spread.row_numbers(mine, [], [F.col("id")], "_k").select(
         (F.col("_k") - 1 + (F.lit(first_id) if isinstance(first_id, int) else first_id)).alias("unit_id"),
         "document_id",
         "page_ids",
@@ -237,9 +237,7 @@ def merge_pages(pages: DataFrame, chosen: DataFrame, parent_id: int, filename: s
     ids = chosen.select("page_id").distinct()
     found = pages.join(ids, "page_id", "left_semi")
     lost = ids.join(pages.select("page_id"), "page_id", "left_anti").agg(F.count(F.lit(1))).scalar()
-    numbered = spread.row_numbers(
-        found, [], [F.col("page_number"), F.col("page_id")], spread.int_bucket("page_number", 64), "child_number"
-    )
+    numbered = spread.row_numbers(found, [], [F.col("page_number"), F.col("page_id")], "child_number")
     children = numbered.where(lost == 0).select(
         F.lit(parent_id).cast("long").alias("parent_document_id"),
         F.lit(0).alias("is_composite"),

@@ -326,6 +326,47 @@ def test_window_match_against_brute_force(spark):
     assert [got[i] for i in range(len(cases))] == want
 
 
+def _plain_ink(dark, rects):
+    return {k: sum(l <= x < r and t <= y < b for x, y in dark) for k, (l, t, r, b) in rects.items()}
+
+
+def test_ink_against_every_pixel(spark):
+    rnd = random.Random(9)
+    width, height = 700, 400
+    dark = sorted({(rnd.randrange(width), rnd.randrange(height)) for _ in range(3000)} | {(x, 100) for x in range(width)} | {(width - 1, height - 1), (0, 0)})
+    boxes = []
+    for k in range(60):
+        x, y = rnd.randint(-20, width), rnd.randint(-20, height)
+        boxes.append((1, k, x, y, x + rnd.choice([0, 1, 63, 64, 65, 300, -5]), y + rnd.choice([0, 1, 31, 32, 33, 200])))
+    boxes += [(1, 60, None, 1, 2, 3), (2, 0, 0, 0, 50, 50), (1, 61, 0, 0, 64, 32), (1, 62, 640, 384, 700, 400)]
+    d = spark.createDataFrame([(1, x, y) for x, y in dark], "page_id long, x long, y int")
+    b = spark.createDataFrame([(*r, "ab") for r in boxes], "page_id long, box_index long, x1 int, y1 int, x2 int, y2 int, text string")
+    whole = [r for r in boxes if None not in r and r[0] == 1]
+    cut = {k: (max(0, min(x1, width)), max(0, min(y1, height)), max(0, min(x2, width)), max(0, min(y2, height))) for _, k, x1, y1, x2, y2 in whole}
+    left = [(x, y) for x, y in dark if not any(l <= x < r and t <= y < e for l, t, r, e in cut.values())]
+    assert sorted(tuple(r) for r in ink.uncovered_pixels(d, b, width, height).collect()) == [(1, x, y) for x, y in left]
+    got = ink.page_coverage(d, b, width, height).collect()
+    assert [(r["total_dark"], r["uncovered_dark"]) for r in got] == [(len(dark), len(left))]
+    crops = b.where(G.has_corners()).withColumns(G.crop_bounds(width, height, 3)).where("cx1 <= cx2 and cy1 <= cy2 and page_id = 1").collect()
+    want = _plain_ink(dark, {r["box_index"]: (r["cx1"], r["cy1"], r["cx2"], r["cy2"]) for r in crops})
+    got = ink.box_black_pixels(b, d, width, height, 3).where("page_id = 1").collect()
+    assert {r["box_index"]: r["black_pixels"] for r in got} == want
+
+
+def test_equal_boxes_on_one_tile_do_not_multiply_pixels(spark):
+    dark = spark.range(4096).selectExpr("1L AS page_id", "id % 128 AS x", "id DIV 128 AS y")
+    boxes = spark.range(1000).selectExpr("1L AS page_id", "id AS box_index", "0 AS x1", "0 AS y1", "120 AS x2", "30 AS y2", "'a' AS text")
+    rects = ink._page_rects(boxes, 1000, 1600, ["page_id", "box_index"])
+    assert ink._explode_tiles(rects).join(ink._tiles(dark), ink._TILE).count() == 1000
+    covered = ink._covered(rects.drop("box_index"), dark, ["page_id"])
+    assert covered.count() == 30 * 2
+    got = ink.box_black_pixels(boxes, dark, 1000, 1600, 0)
+    crop = boxes.withColumns(G.crop_bounds(1000, 1600, 0)).first()
+    assert {r["black_pixels"] for r in got.collect()} == {
+        (min(crop["cx2"], 128) - crop["cx1"]) * (min(crop["cy2"], 32) - crop["cy1"])
+    }
+
+
 @pytest.mark.parametrize("few", [0, 64])
 @pytest.mark.parametrize("threshold", [0.8, 0.9, 0.95, 1.0])
 def test_native_match_of_long_and_short_texts(spark, monkeypatch, threshold, few):
