@@ -36,22 +36,45 @@ def _gram(start: str, size: str, h: str) -> str:
     )
 
 
+def _next(a: str, b: str, k: int, body: str) -> str:
+    """``body`` of each x of a list and the y that stands k places on in another, as far as both go."""
+    n = f"greatest(least(size({a}), size({b}) - {k}), 0)"
+    return f"zip_with(slice({a}, 1, {n}), slice({b}, {k + 1}, {n}), (x, y) -> {body})"
+
+
 def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
-    """Adds ``f``: the chosen grams, and all grams of the sizes in ``short``, each with the words around it."""
-    grams = f"transform(sequence(1, size(words) - {GRAM - 1}), i -> xxhash64({WINDOW}, slice(words, i, {GRAM})))"
-    out = df.withColumn("g", F.expr(f"if(size(words) >= {WINDOW}, {grams}, array())"))
-    span = REACH + 1
-    least = f"transform(sequence(1, size(g) - {REACH}), i -> array_min(slice(g, i, {span})))"
-    out = out.withColumn("m", F.expr(f"if(size(g) > 0, {least}, array())"))
-    # a gram is chosen if it is the least of any window that holds it
-    windows = f"slice(m, greatest(i - {REACH}, 1), least(i, size(m)) - greatest(i - {REACH}, 1) + 1)"
-    chosen = f"filter(sequence(1, size(g)), i -> element_at(g, i) = array_max({windows}))"
-    out = out.withColumn("c", F.expr(f"if(size(g) > 0, {chosen}, array())"))
+    """Adds ``f``: the chosen grams, and all grams of the sizes in ``short``, each with the words around it.
+
+    Words are hashed once; the hash of a gram is put together from those of its words, and least and greatest values
+    over windows by doubling the window, so the work of a place doesn't grow with the sizes of grams and windows.
+    """
+    # a text of fewer words than a window has no grams
+    out = df.withColumn("wh", F.expr(f"if(size(words) >= {WINDOW}, transform(words, w -> xxhash64(w)), array())"))
+    out = out.withColumn("g2", F.expr(_next("wh", "wh", 1, "xxhash64(x, y)")))
+    out = out.withColumn("g4", F.expr(_next("g2", "g2", 2, "xxhash64(x, y)")))
+    out = out.withColumn("g", F.expr(_next("g4", "wh", 4, "xxhash64(x, y)")))  # GRAM is 5
+    for name, of in (("m2", ("g", "g", 1)), ("m4", ("m2", "m2", 2)), ("m8", ("m4", "m4", 4)), ("m", ("m8", "g", 8))):  # REACH is 8
+        out = out.withColumn(name, F.expr(_next(*of, "least(x, y)")))
+    # a gram is chosen if it is the least of any of the windows that hold it: the greatest of their least values; as
+    # windows end with the list, the greatest values are taken over a list with REACH lowest values before and after
+    pad = f"array_repeat({-(1 << 63)}L, {REACH})".replace("-9223372036854775808L", "cast('-9223372036854775808' as bigint)")
+    out = out.withColumn("p", F.expr(f"if(size(m) > 0, concat({pad}, m, {pad}), array())"))
+    for name, of in (("x2", ("p", "p", 1)), ("x4", ("x2", "x2", 2)), ("x8", ("x4", "x4", 4)), ("top", ("x8", "p", 8))):
+        out = out.withColumn(name, F.expr(_next(*of, "greatest(x, y)")))
+    out = out.withColumn("c", F.expr("filter(zip_with(transform(g, (x, i) -> i + 1), zip_with(g, top, (x, y) -> x = y), (i, e) -> if(e, i, 0)), i -> i > 0)"))
     lists = [f"transform(c, i -> {_gram('i', str(GRAM), 'element_at(g, i)')})"]
     for n in short:
         each = _gram("i", str(n), f"xxhash64({n}, slice(words, i, {n}))")
         lists.append(f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> {each}), array())")
-    return out.withColumn("f", F.expr(f"concat({', '.join(lists)})")).drop("g", "m", "c")
+    out = out.withColumn("f", F.expr(f"concat({', '.join(lists)})"))
+    return out.drop("wh", "g2", "g4", "g", "m2", "m4", "m8", "m", "p", "x2", "x4", "x8", "top", "c")
+
+
+def _gram_hash(words: str) -> str:
+    """The hash of the five words of a list, as ``fingerprints`` puts it together."""
+    w = [f"xxhash64(element_at({words}, {k}))" for k in range(1, GRAM + 1)]
+    two = [f"xxhash64({w[0]}, {w[1]})", f"xxhash64({w[2]}, {w[3]})"]
+    return f"xxhash64(xxhash64({two[0]}, {two[1]}), {w[4]})"
 
 
 def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -64,7 +87,8 @@ def item_fingerprints(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     # (explode_outer: a filter that Spark infers for explode would be pushed into the expressions above it)
     # a short item is found whole, a long one by its chosen grams: only those have such a hash
     rows = rows.filter(f"if(n < {WINDOW}, i.size = n, i.at is not null)").withColumn("whole", F.expr(f"n < {WINDOW}"))
-    rows = rows.filter(f"whole or i.h = xxhash64({WINDOW}, slice(i.w, i.before + 1, {GRAM}))")
+    chosen = _gram_hash(f"slice(i.w, i.before + 1, {GRAM})")
+    rows = rows.filter(f"whole or (i.size = {GRAM} and i.h = {chosen})")
     return rows.select("item_id", F.col("i.h").alias("h"), "whole", F.struct("i.w", "i.before").alias("i")), short
 
 
