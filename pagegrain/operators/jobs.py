@@ -160,6 +160,12 @@ def plan_metric_jobs(pages: DataFrame, jobs: DataFrame) -> DataFrame:
     return pages.select("page_id").join(newest, "page_id", "left").select("page_id", "job_id", action.alias("action"))
 
 
+def metric_job_counts(plan: DataFrame) -> DataFrame:
+    """Of a plan of metric jobs, how many are created, reset and skipped, and the jobs a batch answers with."""
+    counts = [F.count_if(F.col("action") == a).alias(n) for a, n in (("create", "created"), ("reset", "reset"), ("skip", "skipped"))]
+    return plan.agg(*counts).withColumn("jobs", F.col("created") + F.col("reset"))
+
+
 def recent_failed_jobs(jobs: DataFrame, limit: int = 10) -> DataFrame:
     """The newest failed metric jobs."""
     return (

@@ -219,6 +219,14 @@ def _(b):
     return B.full_page_context(b.a_box).drop("reading_pos")
 
 
+@query(
+    "w3_page_context_text",
+    f"""SELECT page_id, string_agg(t, chr(10) ORDER BY {S.READING_ORDER}) AS text FROM (SELECT *, {S.strip('text')} AS t FROM a_box) WHERE t <> '' GROUP BY page_id""",
+)
+def _(b):
+    return B.page_context_text(b.a_box)
+
+
 @query("x1_page_text", S.PAGE_TEXT)
 def _(b):
     return B.page_text(b.a_box)

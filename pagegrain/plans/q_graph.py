@@ -444,6 +444,30 @@ def _(b):
     return G.statement_triples(_nodes(b))
 
 
+_WD = "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('Q', c_custkey) END"
+_IMAGE = "CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE concat(' http://img/', c_custkey, ' ') END"
+_NEW = f"SELECT concat('Event_', c_custkey) AS uri, c_name, {_WD} AS wd, {_IMAGE} AS image FROM customer UNION ALL SELECT concat('Club_', c_custkey), c_name, {_WD}, NULL FROM customer WHERE c_custkey % 5 = 0"
+
+
+@query(
+    "m17_add_events_and_clubs",
+    f"""SELECT uri AS subject, 'name' AS predicate, c_name AS object, 'literal' AS object_type FROM ({_NEW})
+    UNION ALL SELECT uri, 'sameAs', concat('{C.ENTITY}', wd), 'uri' FROM ({_NEW}) WHERE wd IS NOT NULL
+    UNION ALL SELECT uri, 'mainImage', trim(image), 'literal' FROM ({_NEW}) WHERE trim(image) <> ''""",
+)
+def _(b):
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    wikidata = F.when(k % 3 != 0, F.concat(F.lit("Q"), key)).alias("wikidata_id")
+    image = F.when(k % 4 == 1, "  ").when(k % 4 > 1, F.concat(F.lit(" http://img/"), key, F.lit(" ")))
+    people = b.table("customer")
+    events = people.select(F.concat(F.lit("Event_"), key).alias("entity_uri"), F.col("c_name").alias("name"), wikidata, image.alias("main_image_url"))
+    clubs = people.where(k % 5 == 0).select(
+        F.concat(F.lit("Club_"), key).alias("entity_uri"), F.col("c_name").alias("name"), wikidata, F.lit(None).cast("string").alias("main_image_url")
+    )
+    return G.entity_triples(events.unionByName(clubs))
+
+
 @query(
     "m17_place_links",
     f"""SELECT concat('Statement_', sha256(concat(entity_uri, '|', p, '|', 'Place_1', '|', 'Box_', source_box))) AS statement_uri, entity_uri AS subject, concat('{_CLAIM}', p) AS predicate, 'Place_1' AS object

@@ -138,6 +138,18 @@ def _(b):
     return J.plan_metric_jobs(pages_with_boxes(b.a_result), b.a_job)
 
 
+@query(
+    "m10_metric_job_counts",
+    f"""SELECT count(*) FILTER (action = 'create') AS created, count(*) FILTER (action = 'reset') AS reset, count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (action <> 'skip') AS jobs
+    FROM (SELECT CASE WHEN j.status IN ('pending', 'running') THEN 'skip' WHEN j.status = 'failed' THEN 'reset' ELSE 'create' END AS action
+    FROM (SELECT DISTINCT page_id FROM a_result WHERE has_boxes) u LEFT JOIN (SELECT * FROM ({LATEST_JOB}) WHERE job_type = 'quality') j ON j.page_id = u.page_id)""",
+)
+def _(b):
+    from pagegrain.operators.boxes import pages_with_boxes
+
+    return J.metric_job_counts(J.plan_metric_jobs(pages_with_boxes(b.a_result), b.a_job))
+
+
 @query(
     "t2_recent_failed_jobs",
     "SELECT id, page_id FROM a_job WHERE job_type = 'quality' AND status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 10",

@@ -495,7 +495,7 @@ def _(b):
 def _(b):
     folder = shared_folder(b.spark, "metrics")
     boxes = b.a_box.withColumn("metrics_stale", F.col("page_id") % 3 == 0)
-    boxes.write.parquet(f"{folder}/boxes")
+    stream.write_boxes(boxes, f"{folder}/boxes")
     changed = b.spark.readStream.schema(boxes.schema).parquet(f"{folder}/boxes")
     run = stream.metric_refresh(
         changed.select("page_id", "box_index", "metrics_stale"), f"{folder}/boxes", f"{folder}/rows", f"{folder}/state", S.WIDTH

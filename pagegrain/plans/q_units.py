@@ -186,6 +186,17 @@ def _(b):
     return U.children_of_document(units(b), 3, "unit_id").select("unit_id", "title")
 
 
+@query(
+    "p14_suggestions_of_document",
+    "SELECT o_orderkey AS id, o_custkey AS first_page FROM orders WHERE o_custkey % 20 = 3",
+)
+def _(b):
+    orders = b.table("orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("document_id"), F.col("o_custkey").alias("first_page")
+    )
+    return U.children_of_document(orders, 3, "id").drop("document_id")
+
+
 @query(
     "m14_accept_suggestions",
     f"""SELECT unit_id, document_id, true AS was_unit FROM ({UNITS}) UNION ALL

@@ -6,7 +6,7 @@ Checkpoint folders are the caller's: on a cluster they belong in shared storage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -30,6 +30,43 @@ def job_throughput(jobs: DataFrame, width: str = "1 hour", delay: str = "1 hour"
     return throughput(_timed(jobs, time).withWatermark(time, delay), width, time)
 
 
+#: Parts into which the box table is dealt by page, so that a refresh reads those of its pages only.
+PAGE_BUCKETS = 256
+
+
+def page_bucket(page: str = "page_id") -> Column:
+    return F.pmod(F.xxhash64(page), F.lit(PAGE_BUCKETS)).cast("int")
+
+
+def write_boxes(boxes: DataFrame, path: str) -> None:
+    """Write the box table as ``metric_refresh`` reads it: one folder per page bucket."""
+    boxes.withColumn("page_bucket", page_bucket()).repartition("page_bucket").write.partitionBy("page_bucket").mode("overwrite").parquet(path)
+
+
+def replace_pages(boxes: DataFrame, pages: DataFrame, path: str, stage: str) -> None:
+    """Give ``pages`` the boxes in ``boxes`` and no others; only the folders of their buckets are written anew.
+
+    The new folders are written to ``stage`` first, as a folder can't be overwritten while it is read.
+    """
+    spark = boxes.sparkSession
+    mine = pages.select("page_id").distinct()
+    touched = _buckets_of(mine)
+    old = spark.read.parquet(path).where(F.col("page_bucket").isin(touched)).join(mine, "page_id", "left_anti")
+    fresh = boxes.join(mine, "page_id", "left_semi").withColumn("page_bucket", page_bucket())
+    old.unionByName(fresh, allowMissingColumns=True).repartition("page_bucket").write.partitionBy("page_bucket").mode("overwrite").parquet(stage)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for k in touched:  # 256 at most
+        was, now = (fs.Path(f"{p}/page_bucket={k}") for p in (path, stage))
+        store = was.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.delete(was, True)
+        if store.exists(now):
+            store.rename(now, was)
+
+
+def _buckets_of(pages: DataFrame) -> list[int]:
+    return sorted(r["b"] for r in pages.select(page_bucket().alias("b")).distinct().collect())
+
+
 def page_metrics(boxes: DataFrame, image_width: int) -> DataFrame:
     """Density and review progress per page of recomputed boxes."""
     fresh = B.with_box_metrics(boxes, image_width)
@@ -45,15 +82,20 @@ def metric_refresh(
     ``changed`` is a stream of box keys with ``metrics_stale``.  Each
     micro-batch recomputes the pages it touches from the box table and writes
     them as one partition ``batch=<id>``; a repeated batch overwrites its own
-    partition, so a restart after a lost executor leaves no doubles.
+    partition, so a restart after a lost executor leaves no doubles.  Of a
+    table that ``write_boxes`` wrote, only the buckets of these pages are read.
+    A page that has no boxes left gets a row that says so (``gone``).
     ``current_metrics`` reads the newest row of each page.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         pages = batch.where("metrics_stale").select("page_id").distinct()
-        boxes = spark.read.parquet(boxes_path).join(pages, "page_id", "left_semi")
-        rows = page_metrics(boxes, image_width)
+        table = spark.read.parquet(boxes_path)
+        if "page_bucket" in table.columns:
+            table = table.where(F.col("page_bucket").isin(_buckets_of(pages))).drop("page_bucket")
+        found = page_metrics(table.join(pages, "page_id", "left_semi"), image_width).withColumn("gone", F.lit(False))
+        rows = pages.join(found, "page_id", "left").withColumn("gone", F.coalesce("gone", F.lit(True)))
         rows.write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
 
     return (
@@ -64,7 +106,7 @@ def metric_refresh(
 
 
 def current_metrics(rows: DataFrame) -> DataFrame:
-    """Newest metrics of each page out of the partitions that ``metric_refresh`` writes."""
+    """Newest metrics of each page out of the partitions that ``metric_refresh`` writes; pages without boxes have none."""
     from pagegrain.operators.spread import latest
 
-    return latest(rows, ["page_id"], [F.col("batch")])
+    return latest(rows, ["page_id"], [F.col("batch")]).where(~F.col("gone")).drop("gone")

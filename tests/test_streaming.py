@@ -44,6 +44,29 @@ def test_throughput_closes_windows_and_drops_late_rows(spark, tmp_path):
     assert got == [("2024-01-01 00:00:00", 2, 5.0), ("2024-01-01 03:00:00", 1, 1.0)]
 
 
+def test_metric_refresh_reads_buckets_and_marks_emptied_pages(spark, tmp_path):
+    boxes, keys, out, state, stage = (str(tmp_path / n) for n in ("boxes", "keys", "out", "state", "stage"))
+    schema = "page_id long, box_index long, x1 long, y1 long, x2 long, y2 long, text string, box_type string, review_status string"
+    key = "page_id long, box_index long, metrics_stale boolean"
+    data = [(p, k, 0, 0, 10, 10, "abc", "ocr", "new") for p in range(40) for k in range(2)]
+    stream.write_boxes(spark.createDataFrame(data, schema), boxes)
+
+    def refresh(stale):
+        spark.createDataFrame([(p, 0, True) for p in stale], key).write.mode("append").parquet(keys)
+        run = stream.metric_refresh(spark.readStream.schema(key).parquet(keys), boxes, out, state, 100)
+        run.trigger(availableNow=True).start().awaitTermination()
+        return {r["page_id"]: r["char_count"] for r in stream.current_metrics(spark.read.parquet(out)).collect()}
+
+    assert refresh(range(40)) == {p: 6 for p in range(40)}
+    before = {str(p.relative_to(tmp_path)) for p in (tmp_path / "boxes").rglob("*.parquet")}
+    edited = spark.createDataFrame([(3, 0, 0, 0, 10, 10, "abcdefgh", "ocr", "new")], schema)
+    stream.replace_pages(edited, spark.createDataFrame([(3,), (5,), (99,)], "page_id long"), boxes, stage)
+    after = {str(p.relative_to(tmp_path)) for p in (tmp_path / "boxes").rglob("*.parquet")}
+    touched = {r["b"] for r in spark.createDataFrame([(3,), (5,), (99,)], "page_id long").select(stream.page_bucket().alias("b")).collect()}
+    assert {p.split("page_bucket=")[1].split("/")[0] for p in before ^ after} <= {str(b) for b in touched}
+    assert refresh([3, 5]) == {p: 8 if p == 3 else 6 for p in range(40) if p != 5}
+
+
 def test_metric_refresh_updates_only_touched_pages(spark, tmp_path):
     boxes, keys, out, state = (str(tmp_path / n) for n in ("boxes", "keys", "out", "state"))
     schema = "page_id long, box_index long, x1 long, y1 long, x2 long, y2 long, text string, box_type string, review_status string"
