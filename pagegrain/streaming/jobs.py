@@ -31,7 +31,7 @@ def job_throughput(jobs: DataFrame, width: str = "1 hour", delay: str = "1 hour"
 
 
 #: Parts into which the box table is dealt by page, so that a refresh reads those of its pages only.
-PAGE_BUCKETS = 256
+PAGE_BUCKETS = 64
 
 
 def page_bucket(page: str = "page_id") -> Column:
@@ -55,7 +55,7 @@ def replace_pages(boxes: DataFrame, pages: DataFrame, path: str, stage: str) ->
     fresh = boxes.join(mine, "page_id", "left_semi").withColumn("page_bucket", page_bucket())
     old.unionByName(fresh, allowMissingColumns=True).repartition("page_bucket").write.partitionBy("page_bucket").mode("overwrite").parquet(stage)
     fs = spark._jvm.org.apache.hadoop.fs
-    for k in touched:  # 256 at most
+    for k in touched:  # PAGE_BUCKETS at most
         was, now = (fs.Path(f"{p}/page_bucket={k}") for p in (path, stage))
         store = was.getFileSystem(spark._jsc.hadoopConfiguration())
         store.delete(was, True)
