@@ -153,9 +153,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("__th"))
+    """The documents that are not contaminated, with all their columns, whatever these are called.
+
+    Null and empty texts stay; rows of equal doc_id and text share their fate. An empty table gives no rows.
+    """
+    doc, th = store.fresh(docs, "__doc", "__th")
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(doc), F.col("th").alias(th))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(th))
     return docs.join(bad.distinct(), on, "left_anti")
 
 

@@ -205,15 +205,16 @@ def dedupe_lines(docs: DataFrame, **options) -> DataFrame:
     """
     _, removed = line_decisions(docs, **options)
     per_doc = removed.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
-    per_doc = per_doc.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    doc, th, gone = store.fresh(docs, "__doc", "__th", "__gone")
+    per_doc = per_doc.select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("gone").alias(gone))
     text = F.col("text").cast("string")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.xxhash64(text).eqNullSafe(F.col("__th"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.xxhash64(text).eqNullSafe(F.col(th))
     rows = docs.join(per_doc, on, "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = rows.withColumn("text", F.when(F.col("__gone").isNull(), text).otherwise(left))
-    out = out.filter(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = rows.withColumn("text", F.when(F.col(gone).isNull(), text).otherwise(left))
+    out = out.filter(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return out.select(*docs.columns)
 
 

@@ -140,26 +140,27 @@ def keep_one(docs: DataFrame, num: int = 80, den: int = 100, **options) -> DataF
     Texts are linked, not ids, so rows that share a ``doc_id`` are decided one by one; of rows with equal ``doc_id``
     and text one stays, also where the text has no words. Rows without ``doc_id`` take no part and stay.
     """
+    doc, th = store.fresh(docs, "__doc", "__th")
     text = F.col("text").cast("string")
-    rows = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__th": F.xxhash64(text)})
-    some = rows.filter("__doc is not null")
-    by_text = near_duplicates(some.select(F.col("__th").alias("doc_id"), text.alias("text")), num, den, **options)
-    by_text = by_text.groupBy(F.col("doc_id").alias("__th")).agg(
+    rows = docs.withColumns({doc: F.col("doc_id").cast("long"), th: F.xxhash64(text)})
+    some = rows.filter(F.col(doc).isNotNull())
+    by_text = near_duplicates(some.select(F.col(th).alias("doc_id"), text.alias("text")), num, den, **options)
+    by_text = by_text.groupBy(F.col("doc_id").alias(th)).agg(
         F.min("component_id").alias("comp"), F.max("n_shingles").alias("n")
     )
     by_text = store.keep(by_text, "components")
-    placed = some.select("__doc", "__th").join(by_text.filter("n > 0"), "__th")
-    place = F.struct("__doc", "__th")
+    placed = some.select(doc, th).join(by_text.filter("n > 0"), th)
+    place = F.struct(doc, th)
     firsts = placed.groupBy("comp").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.filter("first <> last").select("comp", "first")
-    gone = placed.join(firsts, "comp").filter(place != F.col("first")).select("__doc", "__th").distinct()
-    left = rows.join(store.keep(gone, "gone"), ["__doc", "__th"], "left_anti")
-    pairs = some.groupBy("__doc", "__th").count().filter("count > 1").select("__doc", "__th")
+    gone = placed.join(firsts, "comp").filter(place != F.col("first")).select(doc, th).distinct()
+    left = rows.join(store.keep(gone, "gone"), [doc, th], "left_anti")
+    pairs = some.groupBy(doc, th).count().filter("count > 1").select(doc, th)
     pairs = store.keep(pairs, "repeated")
     if not pairs.isEmpty():
-        once = left.join(pairs, ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"])
+        once = left.join(pairs, [doc, th], "left_semi").dropDuplicates([doc, th])
         # a null id equals nothing and stays
-        left = left.join(pairs, ["__doc", "__th"], "left_anti").select(*rows.columns).unionByName(once.select(*rows.columns))
+        left = left.join(pairs, [doc, th], "left_anti").select(*rows.columns).unionByName(once.select(*rows.columns))
     return left.select(*docs.columns)
 
 
