@@ -34,26 +34,38 @@ LINK_TARGETS = {"P551": "Person_", "P937": "Person_", "P276": "Event_"}
 
 
 def add_triples(triples: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Union as a set; a missing object type means uri."""
-    ready = fresh if "object_type" in fresh.columns else fresh.withColumn("object_type", F.lit(None).cast("string"))
-    ready = ready.withColumn("object_type", F.coalesce("object_type", F.lit("uri")))
-    return triples.select(*TRIPLE).unionByName(ready.select(*TRIPLE)).dropDuplicates()
-
+    """Union as a set; a missing object type means uri.
 
-def _objects(triples: DataFrame, predicate: str, name: str) -> DataFrame:
-    return triples.where(F.col("predicate") == predicate).select(
-        F.col("subject").alias("statement"), F.col("object").alias(name)
-    )
+    The stored ``triples`` are a set already, so only fresh rows are deduplicated: those that are stored too are
+    found from the stored side, which Spark needn't shuffle while the fresh rows are few.
+    """
+    ready = fresh if "object_type" in fresh.columns else fresh.withColumn("object_type", F.lit(None).cast("string"))
+    ready = ready.withColumn("object_type", F.coalesce("object_type", F.lit("uri"))).select(*TRIPLE)
+    stored = triples.select(*TRIPLE)
+    wanted = ready.toDF(*[f"_{c}" for c in TRIPLE])
+    same = F.lit(True)
+    for c in TRIPLE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return stored.unionByName(ready.subtract(stored.join(wanted, same, "left_semi")))
 
 
 def statements(triples: DataFrame) -> DataFrame:
-    """Statement nodes with subject, predicate, object and one row per source (or a null source)."""
-    return (
-        _objects(triples, "statementSubject", "subject")
-        .join(_objects(triples, "statementPredicate", "predicate"), "statement")
-        .join(_objects(triples, "statementObject", "object"), "statement")
-        .join(_objects(triples, "belegtIn", "source"), "statement", "left")
+    """Statement nodes with subject, predicate, object and one row per source (or a null source).
+
+    The three parts of a node come from one aggregate; a node with several values of a part gives all combinations.
+    Sources are joined, as a statement may have any number of them.
+    """
+    pred = F.col("predicate")
+    parts = {"subject": "statementSubject", "predicate": "statementPredicate", "object": "statementObject"}
+    node = triples.where(pred.isin(*parts.values())).groupBy(F.col("subject").alias("statement")).agg(
+        *[F.collect_set(F.when(pred == p, F.col("object"))).alias(f"_{c}") for c, p in parts.items()]
+    )
+    for c in parts:
+        node = node.withColumn(c, F.explode(f"_{c}"))
+    sources = triples.where(pred == "belegtIn").select(
+        F.col("subject").alias("statement"), F.col("object").alias("source")
     )
+    return node.select("statement", *parts).join(sources, "statement", "left")
 
 
 def statements_by_subject(triples: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
@@ -325,12 +337,12 @@ def upsert_person(triples: DataFrame, people: DataFrame, claims: DataFrame) -> D
     """Replace names, claims and labels of ``people(entity_uri, name, wikidata_id,
     main_image_url, update_main_image)``.
 
-    The authority link changes only when an id is given, the image only when flagged.
+    The authority link changes only when an id is given, the image only when flagged. Of several rows of one
+    entity all must replace a field for its old values to go; their new values all stay.
     """
-    p = people.select(
-        F.col("entity_uri").alias("subject"),
-        F.col("wikidata_id").isNotNull().alias("_id"),
-        F.coalesce("update_main_image", F.lit(False)).alias("_img"),
+    p = people.groupBy(F.col("entity_uri").alias("subject")).agg(
+        F.bool_and(F.col("wikidata_id").isNotNull()).alias("_id"),
+        F.bool_and(F.coalesce("update_main_image", F.lit(False))).alias("_img"),
     )
     pred = F.col("predicate")
     goes = F.col("_img").isNotNull() & (
@@ -359,15 +371,10 @@ def upsert_place(triples: DataFrame, places: DataFrame) -> DataFrame:
     update_main_image, lat, lon, historical_address, adressbuch_url, adressbuch_page)``.
 
     Fields that are not given are lost, but an old image stays unless a new one
-    is given with the flag.
+    is given with the flag (in all rows, if an entity has several).
     """
-    p = places.select(
-        F.col("entity_uri").alias("subject"),
-        (
-            F.coalesce("update_main_image", F.lit(False))
-            & (T.strip(F.coalesce("main_image_url", F.lit(""))) != "")
-        ).alias("_img"),
-    )
+    image = F.coalesce("update_main_image", F.lit(False)) & (T.strip(F.coalesce("main_image_url", F.lit(""))) != "")
+    p = places.groupBy(F.col("entity_uri").alias("subject")).agg(F.bool_and(image).alias("_img"))
     pred = F.col("predicate")
     goes = F.col("_img").isNotNull() & pred.isin(*PLACE_FIELDS) & ((pred != "mainImage") | F.col("_img"))
     kept = triples.join(p, "subject", "left").where(~F.coalesce(goes, F.lit(False))).select(*TRIPLE)

@@ -128,6 +128,26 @@ def co_mentions(mentions: DataFrame, anchors: DataFrame, grain: str = "source_bo
     )
 
 
+def co_mention_classes(mentions: DataFrame, grain: str = "source_box") -> DataFrame:
+    """J13 over all people, factored: places with the same people form a class.
+
+    One row per person and class: ``class_id`` (its least place), ``places``, ``people`` and ``entity_uri``. Two people
+    are mentioned together in as many places as their common classes have, so the pairs are exact without being
+    written, and the result grows with the mentions. Equal sets are known by their size and two 64-bit hashes.
+    Mentions without a place and places with one person give no row.
+    """
+    at = _people(mentions).where(F.col(grain).isNotNull()).select(grain, "entity_uri").distinct()
+    sets = at.groupBy(grain).agg(
+        F.count(F.lit(1)).alias("people"),
+        *[F.bit_xor(F.xxhash64(F.lit(seed), "entity_uri")).alias(f"_h{seed}") for seed in (1, 2)],
+    )
+    classes = sets.where(F.col("people") > 1).groupBy("people", "_h1", "_h2").agg(
+        F.min(grain).alias("class_id"), F.count(F.lit(1)).alias("places")
+    )
+    members = at.select(F.col(grain).alias("class_id"), "entity_uri")
+    return classes.join(members, "class_id").select("class_id", "places", "people", "entity_uri")
+
+
 def mention_list(mentions: DataFrame, pages: DataFrame, documents: DataFrame, details: DataFrame) -> DataFrame:
     """Mention boxes with document title and the entity's main image."""
     p = pages.select("page_id", "document_id", "page_number")

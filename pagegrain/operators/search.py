@@ -104,20 +104,21 @@ def person_detail(
     around that name in the unit text.
     """
     mine = persons.where((F.coalesce("name", F.lit("")) != "") & ((T.slug("name") == slug) | (F.col("name") == slug)))
-    hits = mine.join(units.where("is_public"), "unit_id")
-    head = hits.agg(
-        F.min_by(F.struct("name", "role", epoch(F.col("year")).alias("epoch")), F.struct("unit_id", "pos")).alias("h")
+    hits = mine.join(units.where("is_public"), "unit_id").withColumn("slug", F.lit(slug))
+    head = hits.groupBy("slug").agg(  # one row at most
+        F.min_by(F.struct("name", "role", epoch(F.col("year")).alias("epoch")), F.struct("unit_id", "pos")).alias("_h")
     )
-    first = head.scalar()
     texts = unit_text(unit_pages.join(hits.select("unit_id"), "unit_id", "left_semi"), page_texts)
     dated = F.col("year").isNotNull() | (F.coalesce("summary", F.lit("")) != "")
-    return hits.where(dated).join(texts, "unit_id", "left").select(
-        F.lit(slug).alias("slug"),
-        *[first.getField(c).alias("display_name" if c == "name" else c) for c in ("name", "role", "epoch")],
+    return hits.where(dated).join(texts, "unit_id", "left").join(F.broadcast(head), "slug").select(
+        "slug",
+        F.col("_h.name").alias("display_name"),
+        "_h.role",
+        "_h.epoch",
         "unit_id",
         "pos",
         "year",
-        T.snippet("text", first.getField("name"), "summary", 120).alias("snippet"),
+        T.snippet("text", F.col("_h.name"), "summary", 120).alias("snippet"),
     )
 
 

@@ -131,6 +131,17 @@ def _(b):
     return P.co_mentions(with_document, _anchors(b), "document_id")
 
 
+@query(
+    "j13_co_mention_classes",
+    """WITH m AS (SELECT DISTINCT source_box AS g, entity_uri FROM a_mention WHERE contains(entity_uri, 'Person_')),
+    s AS (SELECT g, string_agg(entity_uri, '|' ORDER BY entity_uri) AS k, count(*) AS people FROM m GROUP BY g HAVING count(*) > 1),
+    c AS (SELECT min(g) AS class_id, count(*) AS places, any_value(people) AS people FROM s GROUP BY k)
+    SELECT class_id, places, people, entity_uri FROM c JOIN m ON g = class_id""",
+)
+def _(b):
+    return P.co_mention_classes(b.a_mention)
+
+
 @query(
     "j16_mention_list",
     f"""WITH rich AS ({RICH}), d AS ({_DETAILS})

@@ -73,6 +73,13 @@ def _(b):
     return ntriples.parse_ntriples(ntriples.format_ntriples(b.a_triple)).dropDuplicates()
 
 
+@query("s3_triple_files", "SELECT subject, predicate, object, object_type FROM a_triple")
+def _(b):
+    path = shared_folder(b.spark, "triples")
+    ntriples.write_triples(b.a_triple, path)
+    return ntriples.read_triples(b.spark, path)
+
+
 @query(
     "s6_native_text_box",
     f"SELECT page_id, 'pdf_native' AS source, {S.strip('text')} AS text, 800 + page_id % 7 AS x2, 1100 AS y2 FROM (SELECT doc_id AS page_id, text FROM documents) WHERE {S.strip('text')} <> ''",
@@ -435,6 +442,28 @@ def _(b):
     return C.claims_to_store(claim_documents(b), ["c_custkey"], labels(b), selected_properties=["P27", "P569"])
 
 
+@query(
+    "m22_sync_claims_properties",
+    f"SELECT c_custkey, 'P569' AS prop_id, {_BORN} AS value, CAST(NULL AS VARCHAR) AS value_label FROM customer",
+)
+def _(b):
+    return C.claims_to_store(claim_documents(b), ["c_custkey"], labels(b))
+
+
+@query(
+    "m22_sync_claims_selected",
+    f"""SELECT c_custkey, 'P27' AS prop_id, concat('Q', c_nationkey) AS value, {_LABEL} AS value_label FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 5 <> 0
+    UNION ALL SELECT c_custkey, 'P106', c_mktsegment, NULL FROM customer""",
+)
+def _(b):
+    who = b.table("customer")
+    nation = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit(" Q"), F.col("c_nationkey").cast("string")))
+    chosen = who.select("c_custkey", F.lit("P27").alias("prop_id"), nation.alias("value")).unionByName(
+        who.select("c_custkey", F.lit("P106").alias("prop_id"), F.col("c_mktsegment").alias("value"))
+    )
+    return C.claims_to_store(claim_documents(b), ["c_custkey"], labels(b), selected_claims=chosen)
+
+
 @query(
     "f38_property_label",
     f"SELECT c_custkey, prop_id, CASE prop_id WHEN 'P569' THEN 'Geburtsdatum' WHEN 'P27' THEN 'Staatsangehörigkeit' WHEN 'P18' THEN 'Bild' ELSE prop_id END AS label FROM ({_FACTS})",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import text as T
@@ -307,6 +310,41 @@ def _(b):
     return rows
 
 
+_DEAD = "SELECT id FROM a_page WHERE document_id % 4 = 1"
+
+
+@query(
+    "j18_cascade_delete_rows",
+    f"""SELECT 'documents' AS t, document_id AS id FROM a_page WHERE document_id % 4 <> 1 GROUP BY ALL
+    UNION ALL SELECT 'document_metadata', document_id + 1000 FROM a_page WHERE document_id % 4 <> 1 GROUP BY ALL
+    UNION ALL SELECT 'pages', id FROM a_page WHERE document_id % 4 <> 1
+    UNION ALL SELECT 'results', id FROM a_result WHERE document_id % 4 <> 1
+    UNION ALL SELECT 'boxes', page_id * 100000 + box_index FROM a_box WHERE page_id NOT IN ({_DEAD})
+    UNION ALL SELECT 'jobs', id FROM a_job WHERE document_id % 4 <> 1
+    UNION ALL SELECT 'units', unit_id FROM ({UNITS}) WHERE document_id % 4 <> 1
+    UNION ALL SELECT 'mention_boxes', id FROM a_mention WHERE page_id NOT IN ({_DEAD})""",
+)
+def _(b):
+    ids = b.a_page.select("document_id").distinct()
+    left = U.cascade_delete(
+        {
+            "documents": ids.withColumnRenamed("document_id", "id"),
+            "document_metadata": ids.select((F.col("document_id") + 1000).alias("id"), "document_id"),
+            "pages": b.a_page,
+            "results": b.a_result,
+            "boxes": b.a_box.select(
+                (F.col("page_id") * 3 + 2).alias("result_id"), (F.col("page_id") * 100000 + F.col("box_index")).alias("id")
+            ),
+            "jobs": b.a_job,
+            "units": units(b).withColumnRenamed("unit_id", "id"),
+            "mention_boxes": b.a_mention,
+        },
+        ids.where(F.col("document_id") % 4 == 1),
+    )
+    rows = [df.select(F.lit(name).alias("t"), "id") for name, df in left.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- notes and stories: note boxes are notes, a story takes every fifth of them ------
 
 NOTES = "SELECT page_id * 100000 + box_index AS note_id, page_id, page_id * 3 + 2 AS result_id, box_type, text AS note_text, CASE WHEN (page_id + box_index) % 5 < 4 THEN (page_id + box_index) % 5 END AS story_id FROM a_box"

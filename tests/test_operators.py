@@ -663,3 +663,50 @@ def test_web(spark):
     assert sorted(rows(W.image_urls_in_json(df, ["k"], "j"))) == [(1, "http://a/b.JPG"), (1, "https://h/iiif/1")]
     df = spark.createDataFrame([("64, 8,8,x,-1",), ("",), (None,)], "s string")
     assert rows(df.select(W.variant_sizes(F.col("s")))) == [([8, 64],), ([64, 128, 256, 512],), ([64, 128, 256, 512],)]
+
+
+# --- shared places, stored triples ------------------------------------------------------
+
+
+def test_classes_of_shared_places_hold_all_pairs(spark):
+    rng = random.Random(5)
+    seen = [(rng.randrange(60), f"Person_{rng.randrange(6)}") for _ in range(150)]
+    seen += [(k, f"Person_{j}") for k in range(100, 400) for j in range(3)]  # one set of people in very many places
+    seen += [(None, "Person_1"), (None, "Person_2"), (1000, "Place_1"), (1000, "Person_1")]
+    df = spark.createDataFrame(seen, "source_box long, entity_uri string")
+    places = {}
+    for at, who in set(seen):
+        if at is not None and who.startswith("Person_"):
+            places.setdefault(at, set()).add(who)
+    want = {}
+    for people in places.values():
+        for a in people:
+            for b in people - {a}:
+                want[a, b] = want.get((a, b), 0) + 1
+    classes = {}
+    for class_id, n, people, who in rows(PE.co_mention_classes(df), "class_id", "places", "people", "entity_uri"):
+        classes.setdefault((class_id, n, people), []).append(who)
+    got = {}
+    for (_, n, people), members in classes.items():
+        assert len(members) == people
+        for a in members:
+            for b in set(members) - {a}:
+                got[a, b] = got.get((a, b), 0) + n
+    assert got == want
+    assert sum(map(len, classes.values())) <= len(set(seen)) // 3
+    assert PE.co_mention_classes(df.limit(0)).count() == 0
+
+
+def test_fresh_triples_join_a_stored_set(spark):
+    kind = "subject string, predicate string, object string, object_type string"
+    stored = spark.createDataFrame([("a", "p", "x", "uri"), ("b", "p", None, "uri")], kind)
+    fresh = spark.createDataFrame([("a", "p", "x"), ("c", "p", "y"), ("c", "p", "y"), ("b", "p", None)], "subject string, predicate string, object string")
+    got = sorted(rows(GR.add_triples(stored, fresh)), key=str)
+    assert got == sorted([("a", "p", "x", "uri"), ("b", "p", None, "uri"), ("c", "p", "y", "uri")], key=str)
+
+
+def test_statement_with_several_values_gives_all_combinations(spark):
+    data = [("s", "statementSubject", "a"), ("s", "statementSubject", "b"), ("s", "statementPredicate", "p"), ("s", "statementObject", "o")]
+    data += [("s", "belegtIn", "q"), ("t", "statementSubject", "a"), ("t", "statementPredicate", "p")]
+    df = spark.createDataFrame([(*d, "uri") for d in data], "subject string, predicate string, object string, object_type string")
+    assert sorted(rows(GR.statements(df))) == [("s", "a", "p", "o", "q"), ("s", "b", "p", "o", "q")]
