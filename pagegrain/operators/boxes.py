@@ -8,6 +8,7 @@ text, a persistent-region flag and stored metric columns are optional.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,8 +164,8 @@ def filter_boxes(boxes: DataFrame, **bounds) -> DataFrame:
     return _all(boxes, conditions)
 
 
-def filter_boxes_lenient(boxes: DataFrame, **bounds) -> DataFrame:
-    """The selection behind batch edits.
+def lenient_condition(boxes: DataFrame, **bounds) -> Column:
+    """P2 as a condition on a row of the box table, never null.
 
     As P1, but an unknown position passes, text search falls back to the
     stored preview when the text is blank, and types are those of P3.
@@ -186,7 +187,12 @@ def filter_boxes_lenient(boxes: DataFrame, **bounds) -> DataFrame:
         conditions.append(box_kind().isin(list(bounds["box_type"])))
     conditions += _metric_bounds(bounds, F.length(_text(boxes)).cast("long"))
     conditions += _positions(bounds, nulls_pass=True)
-    return _all(boxes, conditions)
+    return reduce(lambda a, c: a & F.coalesce(c, F.lit(False)), conditions, F.lit(True))
+
+
+def filter_boxes_lenient(boxes: DataFrame, **bounds) -> DataFrame:
+    """The selection behind batch edits, see ``lenient_condition``."""
+    return boxes.where(lenient_condition(boxes, **bounds))
 
 
 def box_list(boxes: DataFrame) -> DataFrame:

@@ -30,6 +30,13 @@ def select_boxes(boxes: DataFrame, refs: DataFrame | None = None, **filters) ->
     return boxes.select(*KEY).where(F.lit(False))
 
 
+def chosen_boxes(boxes: DataFrame, refs: DataFrame | None = None, **filters) -> DataFrame | Column:
+    """As ``select_boxes``, but filters stay a condition on the row, so that the edit reads the table once."""
+    if refs is None and any(v is not None for v in filters.values()):
+        return B.lenient_condition(boxes, **filters)
+    return select_boxes(boxes, refs, **filters)
+
+
 def bad_refs(boxes: DataFrame, refs: DataFrame) -> DataFrame:
     """Refs that name no box, with the reason."""
     pages = boxes.select("page_id").distinct().withColumn("_page", F.lit(True))
@@ -88,7 +95,7 @@ def set_state(boxes: DataFrame, page_id: int, box_index: int, status: str, now:
     return change_status(boxes, (F.col("page_id") == page_id) & (F.col("box_index") == box_index), status, now)
 
 
-def discard_and_requeue(boxes: DataFrame, chosen: DataFrame) -> DataFrame:
+def discard_and_requeue(boxes: DataFrame, chosen: DataFrame | Column) -> DataFrame:
     """M2: empty the chosen boxes and set them to new."""
     return _set(
         _mark(boxes, chosen),

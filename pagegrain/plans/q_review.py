@@ -348,7 +348,7 @@ def _(b):
 )
 def _(b):
     boxes = edited(b)
-    chosen = R.select_boxes(boxes, None, text_search="ch", review_status=["rejected"])
+    chosen = R.chosen_boxes(boxes, None, text_search="ch", review_status=["rejected"])
     return R.change_status(boxes, chosen, "new", _now()).select("page_id", "box_index", "review_status")
 
 
@@ -374,6 +374,16 @@ def _(b):
     )
 
 
+@query(
+    "m2_discard_filtered",
+    f"SELECT {_BOX}, CASE WHEN text ILIKE '%ch%' AND review_status = 'rejected' THEN '' ELSE text END AS text, CASE WHEN text ILIKE '%ch%' AND review_status = 'rejected' THEN 'new' ELSE review_status END AS review_status FROM a_box",
+)
+def _(b):
+    boxes = edited(b)
+    chosen = R.chosen_boxes(boxes, None, text_search="ch", review_status=["rejected"])
+    return R.discard_and_requeue(boxes, chosen).select("page_id", "box_index", "text", "review_status")
+
+
 @query(
     "m2_requeue_jobs",
     f"""SELECT p.id AS page_id, p.document_id, 'bbox_review' AS job_type, 'pending' AS status, CAST(-1 AS BIGINT) AS priority FROM a_page p

@@ -504,6 +504,18 @@ def _(b):
     return _drain(b, stream.dedupe_job_requests(_job_stream(b)), "dedupe").select("page_id", "job_type")
 
 
+@query(
+    "r2_stream_job_bursts",
+    """WITH g AS (SELECT *, coalesce(created_at - lag(created_at) OVER w > INTERVAL 1 HOUR, true) AS new FROM a_job WINDOW w AS (PARTITION BY page_id, job_type ORDER BY created_at)),
+    s AS (SELECT *, sum(new::INT) OVER (PARTITION BY page_id, job_type ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT page_id, job_type, epoch_us(min(created_at)) // 1000000 AS requested_s, count(*) AS requests FROM s GROUP BY page_id, job_type, k
+    HAVING max(created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM a_job) - INTERVAL 1 HOUR""",
+)
+def _(b):
+    rows = _drain(b, stream.job_request_bursts(_job_stream(b)), "bursts")
+    return rows.select("page_id", "job_type", F.unix_timestamp("requested_at").alias("requested_s"), "requests")
+
+
 @query(
     "r3_stream_job_throughput",
     """SELECT epoch(w)::BIGINT AS window_start, job_type, status, count(*) AS jobs, round(sum(wait_s), 4) AS wait_s FROM (SELECT *, date_trunc('hour', created_at) AS w FROM a_job)

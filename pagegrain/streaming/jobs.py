@@ -25,6 +25,18 @@ def dedupe_job_requests(requests: DataFrame, time: str = "created_at", delay: st
     return _timed(requests, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(["page_id", "job_type"])
 
 
+def job_request_bursts(requests: DataFrame, time: str = "created_at", gap: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """R2 by event time: one row per page, job type and burst of requests that follow each other within ``gap``.
+
+    ``requested_at`` is the burst's first request, ``requests`` their number. A burst appears once the watermark has
+    passed its end, so how the requests are dealt into files and micro-batches doesn't matter; requests behind the
+    watermark are dropped.
+    """
+    timed = _timed(requests, time).withWatermark(time, delay)
+    bursts = timed.groupBy("page_id", "job_type", F.session_window(time, gap).alias("_w")).agg(F.count(F.lit(1)).alias("requests"))
+    return bursts.select("page_id", "job_type", F.col("_w.start").alias("requested_at"), "requests")
+
+
 def job_throughput(jobs: DataFrame, width: str = "1 hour", delay: str = "1 hour", time: str = "created_at") -> DataFrame:
     """Jobs and queue wait per tumbling window, type and status; rows behind the watermark are dropped."""
     return throughput(_timed(jobs, time).withWatermark(time, delay), width, time)

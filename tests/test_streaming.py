@@ -33,6 +33,19 @@ def test_duplicates_within_the_watermark_are_dropped(spark, tmp_path):
     assert got == [(1, 2), (2, 1)]
 
 
+def test_bursts_are_the_same_for_any_split_into_files(spark, tmp_path):
+    times = [(1, "00:00"), (1, "00:40"), (1, "01:30"), (1, "04:00"), (2, "01:45"), (2, "02:30"), (1, "09:00")]
+    data = [(p, "ocr", "pending", f"2024-01-01 {t}:00", 1.0) for p, t in times]
+    want = [(1, "2024-01-01 00:00:00", 3), (1, "2024-01-01 04:00:00", 1), (2, "2024-01-01 01:45:00", 2)]
+    for k, cuts in enumerate([[0, 7], [0, 2, 6, 7]]):
+        src, out, state = (str(tmp_path / f"{n}{k}") for n in ("src", "out", "state"))
+        for n, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            _write(spark, src, data[a:z], n)
+            _drain(stream.job_request_bursts(spark.readStream.schema(JOBS).parquet(f"{src}/*")), out, state)
+        got = sorted((r["page_id"], str(r["requested_at"]), r["requests"]) for r in spark.read.parquet(out).collect())
+        assert got == want
+
+
 def test_throughput_closes_windows_and_drops_late_rows(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
     read = lambda: spark.readStream.schema(JOBS).parquet(f"{src}/*")
