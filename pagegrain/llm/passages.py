@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 4_000) -> dict | No
     """
     known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_docs)
+    known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in spans.slices(batches, "text"):
@@ -129,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 4_000) -> dict | No
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, x binary")
+    # one text of each labelled id, the least by its hash, so that no more than most_docs come to the driver
+    rows = rows.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("id", "y", "text").mapInArrow(run, "id long, y int, x binary")
     got = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows.collect())
     y = np.array([g[1] for g in got], dtype=np.float64)
     if not len(y) or y.min() == y.max():

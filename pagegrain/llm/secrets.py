@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +57,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Spans of tokens of 16 and more characters that no base span overlaps."""
-    return [
-        (m.start(), m.end()) for m in TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in taken)
-    ]
+    taken = sorted(taken)
+    starts = [s for s, _, _ in taken]
+    reach = list(accumulate((e for _, e, _ in taken), max, initial=0))  # furthest end of the spans before each
+    return [(m.start(), m.end()) for m in TOKEN.finditer(text) if reach[bisect_left(starts, m.end())] <= m.start()]
 
 
 def transitions(words: list[str]) -> np.ndarray:

@@ -204,3 +204,17 @@ def test_gradients():
     x, bags, y = np.concatenate(xs), np.array(bags), np.array(y, float)
     w = passages.train(x, bags, y, epochs=20)
     assert ((passages._forward(w, x, bags)[-1] > 0) == (y > 0)).mean() > 0.95
+
+
+def test_conflicting_labels_count_as_the_lower(spark):
+    docs = spark.createDataFrame([(k, f"word{k} some more words of text {k} and five others that follow here") for k in range(60)], "doc_id long, text string")
+    plain = [(k, k % 2) for k in range(60)]
+    more = [(k, 1) for k in range(60)]  # a second label of every id
+    labels, doubled = (spark.createDataFrame(x, "doc_id long, quality int") for x in (plain, more + plain))
+    a, b = (passages.fit(docs, x) for x in (labels, doubled))
+    assert a is not None and all(np.array_equal(a[k], b[k]) for k in a)
+    x, y = (sorted(map(tuple, rules.judge(docs, v).collect())) for v in (labels, doubled))
+    assert x == y
+    # repeated rows of an id don't reach the driver: one text of each id teaches
+    c = passages.fit(docs.unionByName(docs).unionByName(docs), labels)
+    assert all(np.array_equal(a[k], c[k]) for k in a)

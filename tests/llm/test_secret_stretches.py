@@ -1,6 +1,8 @@
 """Random strings of letters only, and behind ordinary prefixes."""
 
+import random
 import string
+import time
 
 import numpy as np
 
@@ -42,3 +44,23 @@ def test_threshold_from_both_kinds(spark):
     limit = secrets.calibrate(df, unseen)
     assert secrets.ratio("usualidentifiersa", full) < limit < secrets.ratio("0000000000000077", full)
     assert limit <= secrets.THRESHOLD
+
+
+def test_tokens_avoid_base_spans_as_pairwise_comparison_does():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcXYZ019") for _ in range(rng.randint(10, 24))) for _ in range(12))
+        taken = []
+        for _ in range(rng.randint(0, 8)):
+            start = rng.randrange(len(text))
+            taken.append((start, start + rng.choice([1, 3, 30, 90]), rng.choice(["assign", "hex"])))
+        want = [m.span() for m in secrets.TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in taken)]
+        assert secrets.tokens(text, taken) == want
+
+
+def test_long_log_of_digests_takes_linear_time():
+    text = "".join(f"{k:032x} ok\n" for k in range(60_000))
+    begin = time.monotonic()
+    base = secrets.base_spans(text)
+    assert len(base) == 60_000 and secrets.tokens(text, base) == []
+    assert time.monotonic() - begin < 20  # comparing all pairs takes minutes
