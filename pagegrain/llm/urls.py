@@ -18,7 +18,7 @@ from pagegrain.llm import store
 HOST_RULES = [
     ("org/", "allow"),
     ("example.org/es/", "block"),
-    ("example.org/en/1", "allow"),
+    ("example.org/en/1", "block"),
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 ]
