@@ -230,14 +230,17 @@ def list_triples(
 
 
 def document_entities(triples: DataFrame) -> DataFrame:
-    """Entities with type that each document mentions."""
+    """Entities with type that each document mentions.
+
+    Both sides are deduplicated before the join: repeated mentions of an entity don't meet its repeated types.
+    """
     said = triples.where(F.col("predicate") == "erwaehnt").select(
         F.col("subject").alias("document"), F.col("object").alias("entity")
     )
     typed = triples.where(F.col("predicate") == "entityType").select(
         F.col("subject").alias("entity"), F.col("object").alias("type")
     )
-    return said.join(typed, "entity").distinct()
+    return said.distinct().join(typed.distinct(), "entity")
 
 
 def entity_documents(triples: DataFrame, entities: DataFrame | None = None) -> DataFrame:
