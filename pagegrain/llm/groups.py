@@ -1,9 +1,9 @@
 """Links between near-equal sets and their connected components, as Spark jobs.
 
-Candidates share a band key. A bucket is never expanded into all its pairs: its members are compared with one leader,
-then only members of different components are compared, and of those only pairs whose sets can still be similar
-enough by their sizes and by the elements that no other candidate has. That bound is exact, so no pair that shares a
-key and passes the threshold is lost.
+Candidates share a band key. The members of a bucket are compared with one leader, then members of different components
+with each other, inside the task that holds the bucket (or two blocks of a large one), which hands on links of the
+components only. Before contents are fetched, sizes and parities of the sets refuse what can't be similar enough. That
+bound is exact, so no pair that shares a key and passes the threshold is lost.
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.llm import spans, store
 
 #: Rows of ids (8 bytes each) that may be sent to all executors; larger tables are shuffled.
 SENT_ROWS = 4_000_000
+#: Bits of the parities of a set.
+BITS = 512
+#: Rows and elements of a block: buckets of more are compared block by block.
+CELL_ROWS, CELL_SIZE = 1_536, 1 << 20
 
 SetsOf = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -64,10 +68,31 @@ def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
     return components(comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
 
-def _possible(num: int, den: int, na: Column, ua: Column, nb: Column, ub: Column) -> Column:
-    """Whether den * |A and B| >= num * |A or B| can hold, by sizes and numbers of elements nobody else has."""
-    common = F.least(na - ua, nb - ub)
-    return den * common >= num * (na + nb - common)
+def _distinct(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each set in order, and the number of the set that each is in."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    return values[new], of[new]
+
+
+def parities(values: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """Per set a row of ``BITS`` bits: whether an odd number of its elements fall on each.
+
+    Elements of both sets cancel out, so two rows differ in no more bits than there are elements in one set only.
+    """
+    at = (spans.mix(values ^ spans.SECOND) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(of * BITS + at, minlength=count * BITS).reshape(count, BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1)
+
+
+def possible(num: int, den: int, na, pa_, nb, pb) -> np.ndarray:
+    """Whether den * |A and B| >= num * |A or B| can hold, by sizes and parities; exact: no such pair is refused."""
+    least = np.maximum(np.abs(na - nb), np.bitwise_count(pa_ ^ pb).sum(axis=1, dtype=np.int64))
+    # of na + nb elements at least so many are in one set only
+    return den * (na + nb - least) >= num * (na + nb + least)
 
 
 def verify(pairs: DataFrame, content: DataFrame, sets_of: SetsOf, num: int, den: int) -> DataFrame:
@@ -76,15 +101,7 @@ def verify(pairs: DataFrame, content: DataFrame, sets_of: SetsOf, num: int, den:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in spans.slices(iter([whole]), "ta", "tb", most=1 << 20):
-                sides = []
-                for name in ("ta", "tb"):
-                    values, sizes = sets_of(batch[name])
-                    of = np.repeat(np.arange(len(sizes)), sizes)
-                    order = np.lexsort((values, of))
-                    values, of = values[order], of[order]
-                    new = np.ones(len(values), dtype=bool)
-                    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
-                    sides.append((values[new], of[new]))
+                sides = [_distinct(*sets_of(batch[name])) for name in ("ta", "tb")]
                 (va, oa), (vb, ob) = sides
                 values, of = np.concatenate([va, vb]), np.concatenate([oa, ob])
                 order = np.lexsort((values, of))
@@ -100,22 +117,6 @@ def verify(pairs: DataFrame, content: DataFrame, sets_of: SetsOf, num: int, den:
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _alone(content: DataFrame, sets_of: SetsOf) -> DataFrame:
-    """Per id the number of elements of its set that no other id has (``u``); ids without such have no row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in spans.slices(iter([whole]), "content", most=1 << 20):
-                values, sizes = sets_of(batch["content"])
-                ids = np.repeat(batch["id"].to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids)], names=["e", "id"])
-
-    owners = content.select("id", "content").mapInArrow(run, "e long, id long").groupBy("e").agg(
-        F.min("id").alias("id"), F.max("id").alias("other")
-    )
-    return owners.filter("id = other").groupBy("id").agg(F.count("*").alias("u"))
-
-
 def _shared_keys(rows: DataFrame, by: str) -> DataFrame:
     """Rows whose key has several values of ``by``."""
     keys = rows.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo < hi").select("key")
@@ -164,18 +165,175 @@ def _with(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _sized(content: DataFrame, sets_of: SetsOf) -> DataFrame:
-    """Adds ``n``, the size of each content's set (the least, if an id has several contents)."""
+    """Adds ``n``, the size of each content's set, and ``odd``, its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in spans.slices(iter([whole]), "content", most=1 << 20):
-                values, sizes = sets_of(batch["content"])
-                n = [len(np.unique(v)) for v in np.split(values, np.cumsum(sizes)[:-1])]
+                values, of = _distinct(*sets_of(batch["content"]))
+                n = np.bincount(of, minlength=batch.num_rows)
+                odd = parities(values, of, batch.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"], batch["content"], pa.array(n, pa.int64())], names=["id", "content", "n"]
+                    [batch["id"], batch["content"], pa.array(n, pa.int64()), pa.array([x.tobytes() for x in odd], pa.binary())],
+                    names=["id", "content", "n", "odd"],
                 )
 
-    return content.select("id", "content").mapInArrow(run, "id long, content string, n long")
+    return content.select("id", "content").mapInArrow(run, "id long, content string, n long, odd binary")
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """Parities as rows of 64-bit words."""
+    flat = b"".join(column.to_pylist())
+    return np.frombuffer(flat, dtype=np.uint64).reshape(len(column), BITS // 64)
+
+
+def _near_leaders(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct ``a``, ``b`` of the pairs that sizes and parities allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ok = pa.array(possible(num, den, batch["na"].to_numpy(), _bits(batch["oa"]), batch["nb"].to_numpy(), _bits(batch["ob"])))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], names=["a", "b"])
+
+    return pairs.select("a", "na", "oa", "b", "nb", "ob").mapInArrow(run, "a long, b long").distinct()
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole cells (``key``, ``i``, ``j``) from rows in their order, about ``most`` bytes at a time."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.nbytes
+        if n < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.flatnonzero(_cell_starts(table))[-1])
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        held = table.slice(cut).to_batches()
+        n = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _cell_starts(table: pa.Table) -> np.ndarray:
+    """Whether a row begins a cell."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[:1] = True
+    for c in ("key", "i", "j"):
+        v = table[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Deals buckets into cells ``i``, ``j``: a large bucket is cut into blocks, and each pair of blocks is a cell.
+
+    A cell has about ``CELL_ROWS`` rows or ``CELL_SIZE`` elements per block; ``block`` is the one that a row is in.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("m") / CELL_ROWS), F.ceil(F.col("total") / CELL_SIZE)).cast("int")
+    dealt = rows.join(sizes.select("key", blocks.alias("blocks")), "key")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
+    return dealt.withColumns(cell).drop("blocks", "other")
+
+
+def _with_partner(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the buckets to which sizes and parities leave a partner of another component: ``key``, ``id``, ``comp``, ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_cells(batches, 2 << 20):
+            cell = np.cumsum(_cell_starts(table))
+            comp, n, block = (table[c].to_numpy() for c in ("comp", "n", "block"))
+            apart = table["i"].to_numpy() != table["j"].to_numpy()
+            odd = _bits(table["odd"])
+            found = np.zeros(len(cell), dtype=bool)
+            left, step = np.arange(len(cell)), 1
+            while True:
+                left = left[left + step < len(cell)]
+                left = left[cell[left] == cell[left + step]]
+                if not len(left):
+                    break
+                a = left[(comp[left] != comp[left + step]) & (~apart[left] | (block[left] != block[left + step]))]
+                a = a[possible(num, den, n[a], odd[a], n[a + step], odd[a + step])]
+                found[a] = found[a + step] = True
+                step += 1
+            out = table.select(["key", "id", "comp", "n"]).filter(pa.array(found)).combine_chunks()
+            yield from out.to_batches()
+
+    dealt = _cells(rows).select("key", "i", "j", "block", "id", "comp", "n", "odd")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "key long, id long, comp long, n long").distinct()
+
+
+def _common(values: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """The number of common elements of any two of some sets."""
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    several = np.bincount(column) > 1
+    inside = several[column]
+    column, of = (np.cumsum(several) - 1)[column[inside]], of[inside]
+    out = np.zeros((count, count), dtype=np.int32)
+    total = int(several.sum())
+    width = min(max((4 << 20) // count, 1), total)
+    for k in range(0, total, max(width, 1)):
+        a, z = np.searchsorted(column, [k, k + width])
+        part = np.zeros((count, width), dtype=np.float32)
+        part[of[a:z], column[a:z] - k] = 1
+        out += (part @ part.T).astype(np.int32)
+    return out
+
+
+def _settle(rows: DataFrame, content: DataFrame, sets_of: SetsOf, num: int, den: int) -> DataFrame:
+    """Links ``a``, ``b`` that join what is similar within the buckets; each row of a cell has one at most.
+
+    All pairs of a cell are compared on their whole sets inside the task, and only their components leave it.
+    """
+
+    def links(table: pa.Table, values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        id_, comp, block = (table[c].to_numpy() for c in ("id", "comp", "block"))
+        n = np.bincount(of, minlength=len(id_)).astype(np.int32)
+        common = _common(values, of, len(id_))
+        near = (den * common >= num * (n[:, None] + n - common)) & (common > 0) & (comp[:, None] != comp)
+        if table["i"][0] != table["j"][0]:
+            near &= block[:, None] != block
+        label = np.arange(len(id_), dtype=np.int32)
+        while True:
+            least = np.minimum(np.where(near, label, np.int32(len(id_))).min(axis=1), label)
+            if (least == label).all():
+                break
+            label = least
+        some = label != np.arange(len(id_))
+        return id_[some], id_[label[some]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (part for whole in batches for part in spans.slices(iter([whole]), "content", most=1 << 20))
+        for table in _whole_cells(small, 2 << 20):
+            values, of = _distinct(*sets_of(table["content"].combine_chunks()))
+            bounds = [*np.flatnonzero(_cell_starts(table)).tolist(), table.num_rows]
+            edges = np.searchsorted(of, bounds).tolist()
+            found = [
+                links(table.slice(a, z - a), values[v:w], of[v:w] - a)
+                for a, z, v, w in zip(bounds[:-1], bounds[1:], edges[:-1], edges[1:], strict=True)
+                if z - a > 1
+            ]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = _cells(rows).join(content.select("id", "content"), "id")
+    dealt = dealt.select("key", "i", "j", "block", "id", "comp", "content")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def link(
@@ -194,39 +352,27 @@ def link(
     shared = store.keep(_shared(keyed), "candidates")
     ids = store.keep(shared.select("id").distinct(), "ids")
     count = ids.count()
+    # of several contents of an id (texts under one hash) one stands for it
     content = store.keep(_sized(fetch(ids, count), sets_of), "contents")
-    about = content.groupBy("id").agg(F.min("n").alias("n")).join(
-        copies.join(small_side(ids, count), "id", "left_semi"), "id"
-    )
-    cand = store.keep(shared.join(about, "id"), "candidates")
-    store.drop(shared)
-
-    def star(rows: DataFrame, rank: Column) -> DataFrame:
-        lead = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n", "u")).alias("l"))
-        pairs = rows.join(lead, "key").filter("id <> l.id")
-        pairs = pairs.filter(_possible(num, den, F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u")))
-        return pairs.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
-
-    none = F.lit(0).cast("long")
-    links = store.keep(verify(star(cand.withColumn("u", none), -F.col("copies")), content, sets_of, num, den), "verified")
+    about = content.groupBy("id").agg(F.min(F.struct("n", "odd")).alias("s")).select("id", "s.n", "s.odd")
+    about = about.join(copies.join(small_side(ids, count), "id", "left_semi"), "id")
+    about = store.keep(about, "sizes")
+    cand = shared.join(about, "id")
+
+    lead = cand.groupBy("key").agg(F.min(F.struct((-F.col("copies")).alias("r"), "id", "n", "odd")).alias("l"))
+    pairs = cand.join(lead, "key").filter("id <> l.id")
+    size = F.least("n", "l.n")
+    pairs = pairs.filter(den * size >= num * F.greatest("n", "l.n"))
+    pairs = pairs.select(
+        F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"),
+        F.col("l.id").alias("b"), F.col("l.n").alias("nb"), F.col("l.odd").alias("ob"),
+    )
+    near = store.keep(_near_leaders(pairs, num, den), "pairs")
+    links = store.keep(verify(near, content, sets_of, num, den), "verified")
     comps = components(links)
 
     # keys that still join several components
-    rest = store.keep(_shared_keys(_with(cand, comps), "comp").drop("copies"), "rest")
-    rest_ids = store.keep(rest.select("id").distinct(), "ids")
-    left = content.join(small_side(rest_ids, rest_ids.count()), "id", "left_semi")
-    rest = rest.join(_alone(left, sets_of), "id", "left").withColumn("u", F.coalesce("u", none))
-    rest = store.keep(rest.filter(den * (F.col("n") - F.col("u")) >= num * F.col("n")), "rest")
-    more = store.keep(verify(star(rest, F.col("u") / F.col("n")), content, sets_of, num, den), "verified")
-    comps = joined(comps, more)
-
-    rest = store.keep(_shared_keys(_with(rest.drop("comp"), comps), "comp"), "rest")
-    # a pair that shares several keys is made at the least of them only
-    rest = rest.join(rest.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
-    a, b = rest.alias("x"), rest.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    on &= _possible(num, den, F.col("x.n"), F.col("x.u"), F.col("y.n"), F.col("y.u"))
-    on &= F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    pairs = a.join(b, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    last = store.keep(verify(pairs, content, sets_of, num, den), "verified")
+    rest = _shared_keys(_with(shared, comps), "comp").join(about.drop("copies"), "id")
+    rest = store.keep(_with_partner(rest, num, den), "rest")
+    last = store.keep(_settle(rest, content, sets_of, num, den), "verified")
     return joined(comps, last)
