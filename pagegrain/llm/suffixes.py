@@ -23,8 +23,10 @@ from pagegrain.llm import groups, spans, store
 GRAM = 24
 SHALLOW = 64
 LOWEST = -(1 << 63)
-#: A gram with more different surroundings goes the way of ``_windows``, so that no task holds an unbounded group.
+#: A gram with more different surroundings goes the way of ``_by_parts``, so that no task holds an unbounded group.
 MOST = 4_000
+#: Windows per part of its contexts, and of the parts of those.
+WIDTHS = (16, 4, 1)
 
 
 def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -79,33 +81,32 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _sift(rows: DataFrame) -> DataFrame:
-    """Sorted anchors to ``did``, ``pos``, ``g``, ``full``: repeats of gram and surroundings, and anchors to compare.
+    """Rows sorted by ``g``, ``c``, ``did``, ``pos`` without ``c`` and with ``full``: whether the surroundings came before.
 
     Anchors alone with their gram fall away. At the borders of partitions an anchor may be handed on for comparison
     without need, which changes nothing.
     """
+    schema = rows.drop("c").schema.add("full", "boolean", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["did", "pos", "g", "full"]
         last_g = last_c = held = None  # held: the first anchor of a gram until its second surroundings are met
         begun = False
 
-        def out(did, pos, g, full):
-            n = len(g)
-            cols = [pa.array(did, pa.int64()), pa.array(pos, pa.int32()), pa.array(g, pa.int64()), pa.array([full] * n, pa.bool_())]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+        def out(batch, at, full):
+            found = batch.take(pa.array(at, pa.int64())).drop_columns(["c"])
+            return pa.RecordBatch.from_arrays([*found.columns, pa.array([full] * len(at), pa.bool_())], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, c, did, pos = (batch[k].to_numpy() for k in ("g", "c", "did", "pos"))
+            g, c = batch["g"].to_numpy(), batch["c"].to_numpy()
             new_g, new_c = np.ones(len(g), bool), np.ones(len(g), bool)
             new_g[1:] = g[1:] != g[:-1]
             new_c[1:] = new_g[1:] | (c[1:] != c[:-1])
             if begun:
                 new_g[0] = g[0] != last_g
                 new_c[0] = new_g[0] or c[0] != last_c
-            yield out(did[~new_c], pos[~new_c], g[~new_c], True)
+            yield out(batch, np.flatnonzero(~new_c), True)
             r = np.flatnonzero(new_c)
             if len(r):
                 first = new_g[r]
@@ -117,17 +118,16 @@ def _sift(rows: DataFrame) -> DataFrame:
                     sure[0] = True
                 if held is not None:
                     if not first[0]:
-                        yield out(*([x] for x in held), False)
+                        yield out(held, [0], False)
                     held = None
-                end = len(r) - 1
-                yield out(did[r[sure]], pos[r[sure]], g[r[sure]], False)
-                if not sure[end]:
-                    held = (did[r[end]], pos[r[end]], g[r[end]])
+                yield out(batch, r[sure], False)
+                if not sure[-1]:
+                    held = batch.slice(r[-1], 1)
             last_g, last_c, begun = g[-1], c[-1], True
         if held is not None:
-            yield out(*([x] for x in held), False)
+            yield out(held, [0], False)
 
-    return rows.mapInArrow(run, "did long, pos int, g long, full boolean")
+    return rows.mapInArrow(run, schema)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, count: int, length: int) -> DataFrame:
@@ -302,28 +302,68 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "did long, a long, z long")
 
 
-def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many surroundings: every window by two hashes, aggregated and joined back."""
+def _parts(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """Contexts cut by which of their windows count: those with ``lo`` to ``hi`` bytes before the anchor, ``width`` of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for did, pos, left, ctx in zip(*(batch[k].to_pylist() for k in ("did", "pos", "left", "ctx")), strict=True):
-                starts = np.arange(max(len(ctx) - length + 1, 0))
-                starts = starts[(starts <= left) & (starts >= left - (length - GRAM))]
-                h = [hashlib.blake2b(ctx[s : s + length], digest_size=16).digest() for s in starts.tolist()]
-                pair = np.frombuffer(b"".join(h), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1])),
-                        pa.array(np.full(len(starts), did)), pa.array(starts + pos - left),
-                    ],
-                    names=["h1", "h2", "did", "a"],
-                )
+    All windows of a part hold the same bytes around the anchor, whose hash is the part's ``g``; ``c`` is the hash of the
+    bytes that its windows cover. So equal windows meet in one part, a part's surroundings are fewer than the whole ones,
+    and a part of one window has none besides it.
+    """
 
-    rows = contexts.mapInArrow(run, "h1 long, h2 long, did long, a long").distinct()
-    least = rows.groupBy("h1", "h2").agg(F.min(F.struct("did", "a")).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    again = rows.join(least, ["h1", "h2"]).filter("did <> f.did or a <> f.a")
-    return again.select("did", "a", (F.col("a") + length).alias("z"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in spans.slices(iter([whole]), "ctx", most=1 << 18):
+                buf, begin, end = spans.pack(batch["ctx"])
+                g, left, lo, hi = (batch[k].to_numpy().astype(np.int64) for k in ("g", "left", "lo", "hi"))
+                anchor = begin + left
+                for step in range(0, int((hi - lo).max()) + 1, width):
+                    low = lo + step
+                    high = np.minimum(low + width - 1, hi)
+                    # windows that lie inside the text
+                    some = np.flatnonzero(np.maximum(low, length - (end - anchor)) <= np.minimum(high, left))
+                    low, high, at = low[some], high[some], anchor[some]
+                    a, z = np.maximum(at - high, begin[some]), np.minimum(at + length - low, end[some])
+                    part = (low << 32 | high).view(np.uint64)
+                    key = spans.mix(spans.hash_spans(buf, at - low, at + length - high) ^ spans.mix(part))
+                    around = spans.mix(spans.hash_spans(buf, a, z) ^ spans.mix((at - a << 32 | z - at).view(np.uint64)))
+                    ctx = [buf[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), batch["did"].take(pa.array(some)),
+                            batch["pos"].take(pa.array(some)), pa.array((at - a).astype(np.int32)), pa.array(ctx, pa.binary()),
+                            pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
+                        ],
+                        names=["g", "c", "did", "pos", "left", "ctx", "lo", "hi"],
+                    )
+
+    return contexts.mapInArrow(run, "g long, c long, did long, pos int, left int, ctx binary, lo int, hi int")
+
+
+def _by_parts(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for grams with very many surroundings: their contexts are cut into parts of ever fewer windows.
+
+    Repeats of a part's surroundings are settled at once, parts of few surroundings by suffix arrays, and only those
+    that still have very many are cut again, so a context makes a few rows instead of one per window.
+    """
+    hot = contexts.select("*", F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
+    found = None
+    for width in WIDTHS:
+        rows = store.keep(_parts(hot, width, length), "parts")
+        ordered = rows.repartitionByRange("g", "c", "did", "pos").sortWithinPartitions("g", "c", "did", "pos")
+        sifted = store.keep(_sift(ordered), "sifted")
+        store.drop(rows)
+        full = sifted.filter("full").select(
+            "did", (F.col("pos") - F.col("hi")).cast("long").alias("a"), (F.col("pos") + length - F.col("lo")).cast("long").alias("z")
+        )
+        open_ = sifted.filter("not full").drop("full")
+        many = open_.groupBy("g").count().filter((F.col("count") > MOST) & F.lit(width > 1)).select("g")
+        many = store.keep(many, "hot-grams")
+        now = full.unionByName(_compare(open_.join(many, "g", "left_anti"), length))
+        found = now if found is None else found.unionByName(now)
+        if many.isEmpty():
+            break
+        hot = open_.join(many, "g", "left_semi")
+    return found
 
 
 def repeated_stretches(docs: DataFrame, length: int) -> DataFrame:
@@ -336,11 +376,12 @@ def repeated_stretches(docs: DataFrame, length: int) -> DataFrame:
     w = length - GRAM
     full = sifted.filter("full").select("did", (F.col("pos") - w).cast("long").alias("a"), (F.col("pos") + length).cast("long").alias("z"))
     open_ = sifted.filter("not full").select("did", "pos", "g")
+    hot = store.keep(open_.groupBy("g").count().filter(F.col("count") > MOST).select("g"), "hot-grams")
     contexts = store.keep(_contexts(docs, open_, open_.count(), length), "contexts")
-    hot = contexts.groupBy("g").count().filter(F.col("count") > MOST).select("g")
-    usual = contexts.join(hot, "g", "left_anti")
-    many = contexts.join(hot, "g", "left_semi")
-    return full.unionByName(_compare(usual, length)).unionByName(_windows(many, length))
+    found = full.unionByName(_compare(contexts.join(hot, "g", "left_anti"), length))
+    if hot.isEmpty():
+        return found
+    return found.unionByName(_by_parts(contexts.join(hot, "g", "left_semi"), length))
 
 
 def dedupe(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -365,7 +406,8 @@ def dedupe(docs: DataFrame, length: int = 100) -> DataFrame:
     found = store.keep(repeated_stretches(unique, length), "stretches")
     per_doc = found.groupBy("did").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     with_id = marked.join(ids, ["doc", "h1"], "left") if ids is not None else marked.withColumn("did", F.col("doc"))
-    joined = with_id.join(groups.small_side(per_doc, found.count()), "did", "left").select("doc_id", "text", "copy", "spans")
+    # stretches grow with the texts: no broadcast, which would end at some size
+    joined = with_id.join(per_doc, "did", "left").select("doc_id", "text", "copy", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
