@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.llm import spans, store
@@ -24,6 +24,9 @@ BITS = 512
 #: Rows and elements of a block: buckets of more are compared block by block.
 CELL_ROWS, CELL_SIZE = 1_536, 1 << 20
 
+#: Keys that a task holds before it hands them on.
+PACKED = 1 << 19
+
 SetsOf = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -70,9 +73,10 @@ def joined(comps: DataFrame, more: DataFrame) -> DataFrame:
 
 def _distinct(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct elements of each set in order, and the number of the set that each is in."""
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((values, of))
-    values, of = values[order], of[order]
+    values, of = values.copy(), np.repeat(np.arange(len(sizes)), sizes)
+    to = np.cumsum(sizes).tolist()
+    for a, z in zip([0, *to], to, strict=False):
+        values[a:z].sort()
     new = np.ones(len(values), dtype=bool)
     new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
     return values[new], of[new]
@@ -103,12 +107,13 @@ def verify(pairs: DataFrame, content: DataFrame, sets_of: SetsOf, num: int, den:
             for batch in spans.slices(iter([whole]), "ta", "tb", most=1 << 20):
                 sides = [_distinct(*sets_of(batch[name])) for name in ("ta", "tb")]
                 (va, oa), (vb, ob) = sides
-                values, of = np.concatenate([va, vb]), np.concatenate([oa, ob])
-                order = np.lexsort((values, of))
-                values, of = values[order], of[order]
-                same = (values[1:] == values[:-1]) & (of[1:] == of[:-1])
-                common = np.bincount(of[1:][same], minlength=batch.num_rows)
-                union = np.bincount(of, minlength=batch.num_rows) - common
+                na, nb = (np.bincount(x, minlength=batch.num_rows) for x in (oa, ob))
+                # both sets of a pair side by side; what both hold is there twice
+                both = np.empty(len(va) + len(vb), dtype=np.uint64)
+                both[np.arange(len(va)) + (np.cumsum(nb) - nb)[oa]] = va
+                both[np.arange(len(vb)) + np.cumsum(na)[ob]] = vb
+                union = np.bincount(_distinct(both, na + nb)[1], minlength=batch.num_rows)
+                common = na + nb - union
                 ok = pa.array((den * common >= num * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], names=["a", "b"])
 
@@ -160,6 +165,79 @@ def _shared(keyed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, id long")
 
 
+def _parts(spark: SparkSession) -> int:
+    """The number of parts that keys are dealt into, a power of two."""
+    return 1 << max(10, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def packed(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Keys and ids as ``part``, by the first bits of the key, ``keys`` (its last 32 bits) and ``ids``: many of them in a row.
+
+    keys_of: keys and ids of batches. Spark shuffles a row per task and part instead of one per key.
+    """
+    parts = _parts(rows.sparkSession)
+    shift = np.uint64(64 - parts.bit_length() + 1)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        bounds = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(bounds))
+        last = keys.astype(np.uint32)
+        edges = list(zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True))
+        cols = [pa.array([x[a:z].tobytes() for a, z in edges], pa.binary()) for x in (last, ids)]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *cols], names=["part", "keys", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for found in keys_of(batches):
+            held.append(found)
+            n += len(found[0])
+            if n >= PACKED:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return rows.mapInArrow(run, "part int, keys binary, ids binary")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """Distinct ``key``, ``id`` of the packed keys that several ids have."""
+
+    def settle(part: int, keys: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
+        key, id_ = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(ids), np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        again = key[1:] == key[:-1]
+        some = np.append(again, False) | np.append(False, again)
+        key, id_ = key[some], id_[order[some]]
+        order = np.lexsort((id_, key))
+        key, id_ = key[order], id_[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1]))[: len(key)]
+        key, id_ = key[new], id_[new]
+        again = key[1:] == key[:-1]
+        some = (np.append(again, False) | np.append(False, again))[: len(key)]
+        key = key[some].astype(np.int64) | part << 32
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_[some])], names=["key", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, keys, ids = None, [], []
+        for batch in batches:
+            for part, k, i in zip(*(batch[c].to_pylist() for c in ("part", "keys", "ids")), strict=True):
+                if part != last and keys:
+                    yield settle(last, keys, ids)
+                    keys, ids = [], []
+                last = part
+                keys.append(k)
+                ids.append(i)
+        if keys:
+            yield settle(last, keys, ids)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, id long")
+
+
 def _with(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -346,10 +424,24 @@ def link(
 ) -> DataFrame:
     """Components of the items that share keys and are similar enough: ``id``, ``comp`` of all but the least ids.
 
-    keyed: ``key``, ``id``. copies: ``id`` and ``copies``, how common an item is; the most common of a bucket leads.
+    keyed: ``key``, ``id``. The rest as in ``link_shared``.
+    """
+    return link_shared(store.keep(_shared(keyed), "candidates"), copies, fetch, sets_of, num, den)
+
+
+def link_shared(
+    shared: DataFrame,
+    copies: DataFrame,
+    fetch: Callable[[DataFrame, int], DataFrame],
+    sets_of: SetsOf,
+    num: int,
+    den: int,
+) -> DataFrame:
+    """Components by a written table of the distinct ``key``, ``id`` of keys with several ids.
+
+    copies: ``id`` and ``copies``, how common an item is; the most common of a bucket leads.
     fetch: the contents (``id``, ``content``) of a table of ids with a known count.
     """
-    shared = store.keep(_shared(keyed), "candidates")
     ids = store.keep(shared.select("id").distinct(), "ids")
     count = ids.count()
     # of several contents of an id (texts under one hash) one stands for it

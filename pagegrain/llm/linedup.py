@@ -22,6 +22,8 @@ CHARS = 8
 #: Shingles of short lines. Below 79 characters one inner change leaves less than 0.8 of the long shingles; a line of 78
 #: can be like one of a quarter more.
 SHORT_CHARS, SHORT = 4, 99
+#: From so many values on a set is signed by one permutation. Bits of a hash beside the number of its line.
+MANY, HASH_BITS = 96, 44
 
 
 def _trim(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,20 +39,37 @@ def _trim(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _chars(buf: np.ndarray, s: np.ndarray, e: np.ndarray, chars: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of non-empty spans (not distinct), and their number."""
-    starts = (buf & 0xC0) != 0x80
-    index = np.zeros(len(buf) + 1, dtype=np.int64)
-    np.cumsum(starts, out=index[1:])
-    points = np.frombuffer(buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
-    a, z = index[s], index[e]
+    """Hashes of the character shingles of non-empty spans (not distinct), and their number; ``chars`` is 8 at most.
+
+    The low bytes of a shingle's characters are one word; what is above them is summed up and mixed in where there is any.
+    """
+    low, high, a, z = buf, None, s, e
+    if len(buf) and buf.max() >= 128:
+        index = np.zeros(len(buf) + 1, dtype=np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=index[1:])
+        points = np.frombuffer(buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        low, high, a, z = points.astype(np.uint8), points >> np.uint32(8), index[s], index[e]
     n = np.maximum(z - a - chars + 1, 1)
     to = np.cumsum(n)
     at = np.arange(to[-1] if len(to) else 0) + np.repeat(a - (to - n), n)
-    end = np.minimum(at + chars, np.repeat(z, n))
-    up, down = spans.powers(len(points) + 1)
-    total = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return spans.mix((total[end] - total[at]) * down[at]), n
+    words = np.ndarray(len(low) + 1, "<u8", np.concatenate([low, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    h = words[at]
+    if chars < 8:
+        h &= np.uint64((1 << 8 * chars) - 1)
+    less = np.flatnonzero(z - a < chars)
+    if len(less):
+        # a shorter line is one shingle; its length counts
+        size, of = (z - a)[less].astype(np.uint64), (to - n)[less]
+        h[of] = h[of] & ((np.uint64(1) << np.uint64(8) * size) - np.uint64(1)) ^ spans.mix(size)
+    h = spans.mix(h ^ spans.SECOND)
+    if high is not None and high.any():
+        up, down = spans.powers(len(high) + 1)
+        total = np.zeros(len(high) + 1, dtype=np.uint64)
+        np.cumsum(high.astype(np.uint64) * up[:-1], out=total[1:])
+        above = total[np.minimum(at + chars, np.repeat(z, n))] - total[at]
+        some = np.flatnonzero(above)
+        h[some] = spans.mix(h[some] ^ spans.mix(above[some] * down[at[some]]))
+    return h, n
 
 
 def line_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,47 +96,78 @@ def _least(values: np.ndarray, n: np.ndarray, bands: int, rows: int, seed: int =
     rng = np.random.default_rng(seed)
     a = (rng.integers(0, 1 << 31, bands * rows, dtype=np.uint64) * 2 + 1).astype(np.uint32)
     b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
-    first, short = np.cumsum(n) - n, (values >> np.uint64(32)).astype(np.uint32)
+    first = np.cumsum(n) - n
     keys = np.empty((len(n), bands), dtype=np.uint64)
-    v = np.empty_like(short)
+    v = np.empty_like(values)
     for j in range(bands):
         key = np.full(len(n), j, dtype=np.uint64)
         for c in range(j * rows, (j + 1) * rows):
-            np.multiply(short, a[c], out=v)
+            np.multiply(values, a[c], out=v)
             np.add(v, b[c], out=v)
             key = spans.mix(key * spans.BASE + np.minimum.reduceat(v, first))
         keys[:, j] = key
     return keys
 
 
-def sign_lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """A row per line that isn't blank: ``doc_id``, hash ``th`` of the text, ``line``, hashes ``h``, ``h2``, ``keys``.
+def _next(ordered: np.ndarray, sets: np.ndarray, first: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys by one permutation: the ``rows`` values from each of ``bands`` places of its circle on.
 
-    ``short_keys`` are those of the shorter shingles; lines that aren't short have none.
+    ordered: sets' numbers and below them, in order, ``HASH_BITS`` bits of hash. Of two sets' union the values next to a
+    place are a random choice, as the least ones under a permutation are.
     """
+    places = (np.arange(bands, dtype=np.uint64) << np.uint64(HASH_BITS)) // np.uint64(bands)
+    to = np.searchsorted(ordered, (sets.astype(np.uint64)[:, None] << np.uint64(HASH_BITS) | places).ravel())
+    to = to.reshape(len(sets), bands) - first[:, None]
+    keys = np.broadcast_to(np.arange(bands, 2 * bands, dtype=np.uint64), to.shape)
+    for t in range(rows):
+        value = ordered[first[:, None] + (to + t) % n[:, None]] & np.uint64((1 << HASH_BITS) - 1)
+        keys = spans.mix(keys * spans.BASE + value)
+    return keys
+
+
+def band_keys(h: np.ndarray, n: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of non-empty sets of hashes (not distinct), and the number of the set that each is of.
+
+    Sets of fewer than ``MANY`` values have the least values under many permutations, larger ones those of one
+    permutation, and those that can be similar to both have both.
+    """
+    count = len(n)
+    ordered = np.repeat(np.arange(count, dtype=np.uint64), n) << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
+    ordered.sort()
+    ordered = ordered[np.append(True, ordered[1:] != ordered[:-1])]
+    of = (ordered >> np.uint64(HASH_BITS)).astype(np.int64)
+    n = np.bincount(of, minlength=count)
+    few, many = 4 * n < 5 * MANY, np.flatnonzero(n >= MANY)
+    keys, sets = [], []
+    if few.any():
+        values = (ordered[few[of]] >> np.uint64(HASH_BITS - 32) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        keys.append(_least(values, n[few], bands, rows).ravel())
+        sets.append(np.repeat(np.flatnonzero(few), bands))
+    if len(many):
+        keys.append(_next(ordered, many, (np.cumsum(n) - n)[many], n[many], bands, rows).ravel())
+        sets.append(np.repeat(many, bands))
+    return np.concatenate(keys), np.concatenate(sets)
+
+
+def _lines(text: pa.Array) -> tuple[np.ndarray, ...]:
+    """Bytes of texts, and of each line that isn't blank: bounds, text and number in it."""
+    buf, starts, _ = spans.pack(text)
+    feeds = np.flatnonzero(buf == 10)
+    s, e = feeds[:-1] + 1, feeds[1:]
+    doc = np.searchsorted(starts, s, side="right") - 1
+    begin = np.searchsorted(s, starts)
+    line = np.arange(len(s)) - begin[np.maximum(doc, 0)] if len(s) else s
+    s, e = _trim(buf, s, e)
+    some = e > s
+    return buf, s[some], e[some], doc[some], line[some]
+
+
+def hash_lines(docs: DataFrame) -> DataFrame:
+    """A row per line that isn't blank: ``doc_id``, hash ``th`` of the text, ``line``, hashes ``h``, ``h2``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in spans.slices(batches, "text", most=1 << 20):
-            buf, starts, ends = spans.pack(batch["text"])
-            feeds = np.flatnonzero(buf == 10)
-            s, e = feeds[:-1] + 1, feeds[1:]
-            doc = np.searchsorted(starts, s, side="right") - 1
-            begin = np.searchsorted(s, starts)
-            line = np.arange(len(s)) - begin[np.maximum(doc, 0)] if len(s) else s
-            s, e = _trim(buf, s, e)
-            some = e > s
-            s, e, doc, line = s[some], e[some], doc[some], line[some]
-            if not len(s):
-                continue
-            values, n = _chars(buf, s, e)
-            keys = _least(values, n, bands, rows)
-            at = np.arange(len(s) + 1, dtype=np.int32) * bands
-            short = _is_short(buf, s, e)
-            short_at = np.zeros(len(s) + 1, dtype=np.int32)
-            short_at[1:] = np.cumsum(short * bands)
-            short_keys = np.zeros((0, bands), dtype=np.uint64)
-            if short.any():
-                short_keys = _least(*_chars(buf, s[short], e[short], SHORT_CHARS), bands, rows)
+            buf, s, e, doc, line = _lines(batch["text"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].take(pa.array(doc)),
@@ -125,15 +175,35 @@ def sign_lines(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     pa.array(line.astype(np.int32)),
                     pa.array(spans.hash_spans(buf, s, e).view(np.int64)),
                     pa.array(spans.hash_spans(buf, s, e, spans.SECOND).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(short_at), pa.array(short_keys.ravel().view(np.int64))),
                 ],
-                names=["doc_id", "th", "line", "h", "h2", "keys", "short_keys"],
+                names=["doc_id", "th", "line", "h", "h2"],
             )
 
-    return _keyed(docs).mapInArrow(
-        run, "doc_id long, th long, line int, h long, h2 long, keys array<long>, short_keys array<long>"
-    )
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, h long, h2 long")
+
+
+def line_keys(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Band keys of lines, packed (see ``groups.packed``); the last bit tells those of the shorter shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in spans.slices(batches, "text", most=1 << 20):
+            buf, s, e, _, _ = _lines(batch["text"])
+            h, at = np.unique(spans.hash_spans(buf, s, e).view(np.int64), return_index=True)
+            s, e = s[at], e[at]
+            # a long text is gone through in runs of lines
+            run_of = np.cumsum(e - s) >> 20
+            cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(s)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y == x:
+                    continue
+                keys, of = band_keys(*_chars(buf, s[x:y], e[x:y]), bands, rows)
+                yield keys & ~np.uint64(1), h[x:y][of]
+                short = np.flatnonzero(_is_short(buf, s[x:y], e[x:y])) + x
+                if len(short):
+                    keys, of = band_keys(*_chars(buf, s[short], e[short], SHORT_CHARS), bands, rows)
+                    yield keys | np.uint64(1), h[short][of]
+
+    return groups.packed(_keyed(docs), run)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -157,7 +227,8 @@ def line_decisions(
     for their sets of shorter shingles. With 22 bands of 4 values a pair at similarity 0.8 misses all bands with
     probability 9e-6, at 0.9 with 6e-11.
     """
-    lines = store.keep(sign_lines(docs, bands, rows), "lines")
+    lines = store.keep(hash_lines(docs), "lines")
+    shared = store.keep(groups.meeting(line_keys(docs, bands, rows)), "candidates")
     # two texts under one hash are told apart by the second hash; their lines stay
     classes = lines.groupBy("h").agg(F.count("*").alias("copies"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
     classes = store.keep(classes, "line-classes")
@@ -174,9 +245,8 @@ def line_decisions(
         return _pick(text.select("text", "w.h", "w.line"))
 
     comps = None
-    for keys, sets_of in (("keys", line_sets), ("short_keys", short_sets)):
-        keyed = lines.select(F.explode(keys).alias("key"), F.col("h").alias("id"))
-        found = groups.link(keyed, copies, fetch, sets_of, num, den)
+    for bit, sets_of in enumerate((line_sets, short_sets)):
+        found = groups.link_shared(shared.filter(F.col("key").bitwiseAND(1) == bit), copies, fetch, sets_of, num, den)
         comps = groups.joined(comps, found.select(F.col("id").alias("a"), F.col("comp").alias("b"))) if comps is not None else found
     # lines that occur several times or are like others
     several = classes.filter("copies > 1").select("h").unionByName(comps.select(F.col("id").alias("h")))
