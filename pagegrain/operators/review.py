@@ -211,14 +211,16 @@ def apply_review(boxes: DataFrame, engines: DataFrame, now: Column, native: Data
     """
     from pagegrain.operators.agreement import engine_agreement
 
-    judged = engine_agreement(engines, native).select(
-        *KEY,
-        (F.col("vision_text").isNull() | F.col("vision_error").isNotNull() | F.col("classic_error").isNotNull()).alias("_failed"),
-        F.when(T.strip(F.coalesce("vision_text", F.lit(""))) != "", T.strip("vision_text"))
-        .otherwise(T.strip(F.coalesce("classic_text", F.lit(""))))
-        .alias("_final"),
-        "auto_confirmed",
+    # made before the texts are shuffled to their pages, so that the final text goes there and not both engines' texts
+    results = engines.withColumns(
+        {
+            "_failed": F.col("vision_text").isNull() | F.col("vision_error").isNotNull() | F.col("classic_error").isNotNull(),
+            "_final": F.when(T.strip(F.coalesce("vision_text", F.lit(""))) != "", T.strip("vision_text")).otherwise(
+                T.strip(F.coalesce("classic_text", F.lit("")))
+            ),
+        }
     )
+    judged = engine_agreement(results, native).select(*KEY, "_failed", "_final", "auto_confirmed")
     b = boxes.join(judged, KEY, "left")
     hit = (F.col("review_status") == "new") & F.col("_failed").isNotNull()
     sure = hit & ~F.col("_failed") & F.col("auto_confirmed")
